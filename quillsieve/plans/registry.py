@@ -1,4 +1,570 @@
-"""All registered queries of the membership engine, with their oracle SQL."""
+"""All registered queries of the membership engine, each beside the SQL that checks it.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Sizes come from quillsieve.params and stand as literals in both, so that no engine's logarithm decides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillsieve.functions.hashing import sql_pair, sql_positions
+from quillsieve.functions.items import item_bytes
+from quillsieve.operators import build, metrics, probe, stats, store, telemetry
+from quillsieve.params import FilterConfig, Layer, bits_for, fixed
+from quillsieve.sources import cdxj, generators, text
+from quillsieve.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# SQL for the oracles -------------------------------------------------------------------------------------------------
+
+def _pair(x: str, integer: bool) -> str:
+    digest = f"md5(unhex(lpad(to_hex({x}::BIGINT), 16, '0')))" if integer else f"md5({x})"
+    return f"('0x' || substr({digest}, 1, 12))::BIGINT AS h1, ('0x' || substr({digest}, 13, 12))::BIGINT AS h2"
+
+
+def _values(plan: list[Layer]) -> str:
+    return "(VALUES " + ", ".join(f"({x.layer}, {x.m}, {x.k}, {x.lo}, {x.hi})" for x in plan) + ") AS p(layer, m, k, lo, hi)"
+
+
+def _bits(items: str, plan: list[Layer], integer: bool, stripes: int = 1) -> str:
+    """items: SQL of rows (item, ordinal). Distinct (layer, stripe, bit)."""
+    return f"""SELECT DISTINCT layer, stripe, (h1 + i * h2) % m AS bit FROM (
+        SELECT layer, m, k, h1, h2, ((h1 % 2147483647) % {stripes})::INTEGER AS stripe, unnest(range(k)) AS i FROM (
+            SELECT p.layer, p.m, p.k, {_pair('item', integer)} FROM ({items}) JOIN {_values(plan)} ON ordinal >= lo AND ordinal < hi WHERE item IS NOT NULL))"""
+
+
+def _probe(items: str, bits: str, plan: list[Layer], integer: bool, stripes: int = 1) -> str:
+    """items: SQL of rows (item). Items with present."""
+    return f"""(WITH b AS ({bits}), d AS (SELECT DISTINCT item FROM ({items}) WHERE item IS NOT NULL),
+        q AS (SELECT DISTINCT item, layer, stripe, (h1 + i * h2) % m AS bit FROM (
+            SELECT item, layer, m, h1, h2, ((h1 % 2147483647) % {stripes})::INTEGER AS stripe, unnest(range(k)) AS i FROM (SELECT item, p.layer, p.m, p.k, {_pair('item', integer)} FROM d CROSS JOIN {_values(plan)}))),
+        h AS (SELECT q.item, q.layer, count(*) AS wanted, count(b.bit) AS hits FROM q LEFT JOIN b ON q.layer = b.layer AND q.stripe = b.stripe AND q.bit = b.bit GROUP BY ALL)
+        SELECT item, bool_or(wanted = hits) AS present FROM h GROUP BY item)"""
+
+
+# Sizing, items and hashing --------------------------------------------------------------------------------------------
+
+#: The configurations of the reference workloads (items, capacity, target rate).
+WORKLOADS = [(3_000_000, 100_000, 0.05), (1_500_000, 100_000, 0.05), (5_000_000, 200_000, 0.01), (5_000_000, 50_000, 0.01), (300_000, 100_000, 0.01), (50_000, 50_000, 0.05)]
+
+
+@query("bf_params", "SELECT n, p, ceil(-n * ln(p) / pow(ln(2), 2))::BIGINT AS m, greatest(1, round_even(ceil(-n * ln(p) / pow(ln(2), 2)) / n * ln(2), 0))::INTEGER AS k FROM (VALUES " + ", ".join(f"({c}::BIGINT, {p}::DOUBLE)" for c, p in sorted({w[1:] for w in WORKLOADS})) + ") t(n, p)")
+def bf_params(spark, sf_dir):
+    return spark.createDataFrame([(c, p, *bits_for(c, p)) for c, p in sorted({w[1:] for w in WORKLOADS})], "n long, p double, m long, k int")
+
+
+@query("item_bytes_hex", "SELECT c_custkey, lpad(to_hex(c_custkey), 16, '0') AS key_hex, hex(c_name) AS name_hex, lpad(to_hex(-c_custkey), 16, '0') AS negative_hex FROM customer")
+def item_bytes_hex(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").withColumn("negative", -F.col("c_custkey"))
+    return c.select("c_custkey", F.hex(item_bytes(c, "c_custkey")).alias("key_hex"), F.hex(item_bytes(c, "c_name")).alias("name_hex"), F.hex(item_bytes(c, "negative")).alias("negative_hex"))
+
+
+_NATION = bits_for(25, 0.01)
+
+
+@query("bf_hash_positions", f"SELECT n_nationkey, i, (h1 + i * h2) % {_NATION[0]} AS bit FROM (SELECT n_nationkey, h1, h2, unnest(range({_NATION[1]}))::INTEGER AS i FROM (SELECT n_nationkey, {_pair('n_name', False)} FROM nation))")
+def bf_hash_positions(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation")
+    h1, h2 = sql_pair(item_bytes(n, "n_name"))
+    return n.select("n_nationkey", F.posexplode(sql_positions(h1, h2, _NATION[1], _NATION[0])).alias("i", "bit"))
+
+
+# Fixed-size filters ---------------------------------------------------------------------------------------------------
+
+_PAGES = fixed(1000, 0.01)
+_PAGE_BITS = _bits("SELECT url AS item, 0 AS ordinal FROM pages", _PAGES, False)
+_CUSTOMERS = fixed(10_000, 0.05)
+_HALF = "SELECT c_custkey AS item, 0 AS ordinal FROM customer WHERE c_custkey <= (SELECT max(c_custkey) / 2 FROM customer)"
+
+
+def _page_items(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("url")
+
+
+def _half_customers(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select("c_custkey")
+    return c, c.filter(F.col("c_custkey") <= F.lit(c.agg(F.max("c_custkey")).first()[0] / 2))
+
+
+@query("bf_build_bits", f"SELECT layer, bit FROM ({_PAGE_BITS})")
+def bf_build_bits(spark, sf_dir):
+    return build.bit_rows(_page_items(spark, sf_dir), "url", _PAGES).select("layer", "bit")
+
+
+@query("bf_set_bits_fill_fp", f"SELECT count(*) AS set_bits, round(count(*) / {_PAGES[0].m}::DOUBLE, 9) AS fill, round(pow(count(*) / {_PAGES[0].m}::DOUBLE, {_PAGES[0].k}), 9) AS actual_fp FROM ({_PAGE_BITS})")
+def bf_set_bits_fill_fp(spark, sf_dir):
+    m = metrics.layer_metrics(build.packed_bits(_page_items(spark, sf_dir), "url", _PAGES), _PAGES)
+    return m.select("set_bits", F.round("fill", 9).alias("fill"), F.round("actual_fp", 9).alias("actual_fp"))
+
+
+@query("bf_probe", f"SELECT item AS c_custkey, present FROM {_probe('SELECT c_custkey AS item FROM customer', _bits(_HALF, _CUSTOMERS, True), _CUSTOMERS, True)}")
+def bf_probe(spark, sf_dir):
+    c, half = _half_customers(spark, sf_dir)
+    return probe.probe(c, "c_custkey", build.packed_bits(half, "c_custkey", _CUSTOMERS), _CUSTOMERS)
+
+
+@query("bf_probe_local", ORACLES["bf_probe"])
+def bf_probe_local(spark, sf_dir):
+    c, half = _half_customers(spark, sf_dir)
+    return probe.probe_local(c, "c_custkey", build.packed_bits(half, "c_custkey", _CUSTOMERS), _CUSTOMERS)
+
+
+_USERS = fixed(2000, 0.02)
+_EVEN = "SELECT user_id AS item, 0 AS ordinal FROM events WHERE user_id % 2 = 0"
+
+
+@query("bf_probe_int", f"SELECT e.event_id, e.user_id, p.present FROM events e LEFT JOIN {_probe('SELECT user_id AS item FROM events', _bits(_EVEN, _USERS, True), _USERS, True)} p ON e.user_id = p.item")
+def bf_probe_int(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id")
+    return probe.probe(e, "user_id", build.packed_bits(e.filter("user_id % 2 = 0"), "user_id", _USERS), _USERS)
+
+
+_PARTS = fixed(4000, 0.01)
+
+
+def _part_bits(rest: str) -> str:
+    return _bits(f"SELECT p_name AS item, 0 AS ordinal FROM part WHERE p_partkey % 2 = {rest}", _PARTS, False)
+
+
+def _part_halves(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    return [build.packed_bits(p.filter(F.col("p_partkey") % 2 == r).select("p_name"), "p_name", _PARTS) for r in (0, 1)]
+
+
+@query("bf_union", f"SELECT layer, count(*) AS set_bits FROM (({_part_bits('0')}) UNION ({_part_bits('1')})) GROUP BY layer")
+def bf_union(spark, sf_dir):
+    return metrics.layer_metrics(store.union_filters(*_part_halves(spark, sf_dir)), _PARTS).select("layer", "set_bits")
+
+
+@query("bf_popcount", f"SELECT count(*) AS set_bits FROM ({_part_bits('0')})")
+def bf_popcount(spark, sf_dir):
+    return metrics.popcount(_part_halves(spark, sf_dir)[0])
+
+
+_SATURATED = fixed(300, 0.01)
+
+
+@query("bf_saturation_check", f"""WITH items AS (SELECT user_id AS item, row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM events),
+    firsts AS (SELECT bit, min(ordinal) AS ordinal FROM (SELECT ordinal, (h1 + i * h2) % {_SATURATED[0].m} AS bit FROM (SELECT ordinal, h1, h2, unnest(range({_SATURATED[0].k})) AS i FROM (SELECT ordinal, {_pair('item', True)} FROM items))) GROUP BY bit),
+    steps AS (SELECT ordinal // 100 AS step, max(ordinal) + 1 AS inserted FROM items GROUP BY 1),
+    news AS (SELECT ordinal // 100 AS step, count(*) AS n FROM firsts GROUP BY 1),
+    runs AS (SELECT inserted, (sum(coalesce(n, 0)) OVER (ORDER BY step))::BIGINT AS set_bits FROM steps LEFT JOIN news USING (step))
+    SELECT inserted::BIGINT AS inserted, set_bits, round(pow(set_bits / {_SATURATED[0].m}::DOUBLE, {_SATURATED[0].k}), 9) AS actual_fp,
+        inserted > {_SATURATED[0].capacity} AND inserted % 100 = 0 AND pow(set_bits / {_SATURATED[0].m}::DOUBLE, {_SATURATED[0].k}) > {_SATURATED[0].fp_rate} AS saturated FROM runs""")
+def bf_saturation_check(spark, sf_dir):
+    items = build.with_ordinal(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    return metrics.saturation(items, "user_id", _SATURATED).withColumn("actual_fp", F.round("actual_fp", 9))
+
+
+# Scalable filters -----------------------------------------------------------------------------------------------------
+
+@query("sbf_layer_plan", "SELECT n, c, p, layer::INTEGER AS layer, capacity, lo, least(n, lo + capacity) - lo AS used FROM (SELECT n, c, p, layer, (c * pow(2, layer))::BIGINT AS capacity, (c * (pow(2, layer) - 1))::BIGINT AS lo FROM (VALUES " + ", ".join(f"({n}::BIGINT, {c}::BIGINT, {p}::DOUBLE)" for n, c, p in WORKLOADS) + ") t(n, c, p) CROSS JOIN range(12) r(layer)) WHERE lo < n")
+def sbf_layer_plan(spark, sf_dir):
+    rows = [(n, c, p, x.layer, x.capacity, x.lo, min(n, x.hi) - x.lo) for n, c, p in WORKLOADS for x in FilterConfig(c, p).plan(n)]
+    return spark.createDataFrame(rows, "n long, c long, p double, layer int, capacity long, lo long, used long")
+
+
+#: Enough layers for the largest tables here; the last bounds are never reached by smaller ones.
+_EVENT_CONFIG, _ORDER_CONFIG, _STRIPED = FilterConfig(500, 0.02), FilterConfig(1000, 0.05), FilterConfig(300, 0.05, tightening=None, stripes=4)
+
+
+def _longest(config: FilterConfig, layers: int = 16) -> list[Layer]:
+    return [config.layer(d) for d in range(layers)]
+
+
+def _plan_rows(config: FilterConfig) -> str:
+    return _values(_longest(config))
+
+
+@query("sbf_layer_assignment", f"SELECT event_id, user_id, ordinal::BIGINT AS ordinal, layer FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM events) JOIN {_plan_rows(_EVENT_CONFIG)} ON ordinal >= lo AND ordinal < hi")
+def sbf_layer_assignment(spark, sf_dir):
+    items = build.with_ordinal(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    return items.withColumn("layer", build.layer_of(F.col("ordinal"), build.scalable_plan(items, _EVENT_CONFIG)))
+
+
+_ORDER_ITEMS = "SELECT o_custkey AS item, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders"
+
+
+def _order_items(spark, sf_dir):
+    items = build.with_ordinal(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return items, build.scalable_plan(items, _ORDER_CONFIG)
+
+
+@query("sbf_layer_stats", f"""WITH items AS ({_ORDER_ITEMS}), counts AS (SELECT layer, m, k, count(*) AS n_items FROM items JOIN {_plan_rows(_ORDER_CONFIG)} ON ordinal >= lo AND ordinal < hi GROUP BY ALL),
+    bits AS (SELECT layer, count(*) AS set_bits FROM ({_bits(_ORDER_ITEMS, _longest(_ORDER_CONFIG), True)}) GROUP BY layer)
+    SELECT layer, n_items, set_bits, round(set_bits / m::DOUBLE, 9) AS fill, round(pow(set_bits / m::DOUBLE, k), 9) AS actual_fp FROM counts JOIN bits USING (layer)""")
+def sbf_layer_stats(spark, sf_dir):
+    items, plan = _order_items(spark, sf_dir)
+    return metrics.layer_stats(items, "o_custkey", plan).select("layer", "n_items", "set_bits", F.round("fill", 9).alias("fill"), F.round("actual_fp", 9).alias("actual_fp"))
+
+
+@query("sbf_element_count", "SELECT count(*) AS n_items FROM orders")
+def sbf_element_count(spark, sf_dir):
+    items, plan = _order_items(spark, sf_dir)
+    return build.layer_counts(items, plan).agg(F.sum("n_items").alias("n_items"))
+
+
+def _sbf_probe(items: str) -> str:
+    """Only layers that hold bits can answer, so the oracle may probe more layers than exist."""
+    return _probe(items, _bits(_ORDER_ITEMS, _longest(_ORDER_CONFIG, 10), True), _longest(_ORDER_CONFIG, 10), True)
+
+
+@query("sbf_probe", f"SELECT item AS c_custkey, present FROM {_sbf_probe('SELECT c_custkey AS item FROM customer')}")
+def sbf_probe(spark, sf_dir):
+    items, plan = _order_items(spark, sf_dir)
+    bits = build.packed_bits(items, "o_custkey", plan)
+    return probe.probe(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", bits, plan)
+
+
+_ABSENT = "SELECT c_custkey + 1000000 AS item FROM customer"
+
+
+@query("sbf_false_negatives", f"SELECT count(*) AS false_negatives FROM {_sbf_probe('SELECT o_custkey AS item FROM orders')} WHERE NOT present")
+def sbf_false_negatives(spark, sf_dir):
+    items, plan = _order_items(spark, sf_dir)
+    keys = items.select("o_custkey").distinct()
+    found = probe.probe(keys, "o_custkey", build.packed_bits(items, "o_custkey", plan), plan)
+    return metrics.false_negatives(keys, found, "o_custkey").agg(F.count(F.lit(1)).alias("false_negatives"))
+
+
+def _absent(spark, sf_dir):
+    items, plan = _order_items(spark, sf_dir)
+    absent = _table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1_000_000).alias("c_custkey"))
+    return metrics.empirical_rate(probe.probe(absent, "c_custkey", build.packed_bits(items, "o_custkey", plan), plan))
+
+
+@query("sbf_empirical_fpr", f"SELECT coalesce(sum(present::INT), 0)::BIGINT AS false_positives, count(*) AS probes, round(coalesce(avg(present::INT), 0), 9)::DOUBLE AS fpr FROM {_sbf_probe(_ABSENT)}")
+def sbf_empirical_fpr(spark, sf_dir):
+    return _absent(spark, sf_dir).withColumn("fpr", F.round("fpr", 9))
+
+
+@query("sbf_verdict", f"SELECT coalesce(avg(present::INT), 0) <= 0.05 OR abs(coalesce(avg(present::INT), 0) - 0.05) < 0.005 AS scalable_ok, abs(coalesce(avg(present::INT), 0) - 0.05) < 0.02 AS fixed_ok FROM {_sbf_probe(_ABSENT)}")
+def sbf_verdict(spark, sf_dir):
+    return _absent(spark, sf_dir).select(metrics.verdict(F.col("fpr"), 0.05, True).alias("scalable_ok"), metrics.verdict(F.col("fpr"), 0.05, False).alias("fixed_ok"))
+
+
+_PART_ITEMS = "SELECT p_name AS item, row_number() OVER (ORDER BY p_partkey) - 1 AS ordinal FROM part"
+_STRIPED_BITS = _bits(_PART_ITEMS, _longest(_STRIPED, 10), False, _STRIPED.stripes)
+
+
+def _striped(spark, sf_dir):
+    items = build.with_ordinal(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    return items, build.scalable_plan(items, _STRIPED)
+
+
+@query("striped_layout", f"SELECT layer, stripe, count(*) AS set_bits FROM ({_STRIPED_BITS}) GROUP BY layer, stripe")
+def striped_layout(spark, sf_dir):
+    items, plan = _striped(spark, sf_dir)
+    packed = build.packed_bits(items, "p_name", plan, _STRIPED.stripes)
+    return packed.groupBy("layer", "stripe").agg(F.sum(F.bitmap_count("bitmap")).alias("set_bits"))
+
+
+_NAMES = "SELECT p_name AS item FROM part UNION ALL SELECT c_name FROM customer"
+
+
+@query("striped_probe", f"SELECT item, present FROM {_probe(_NAMES, _STRIPED_BITS, _longest(_STRIPED, 10), False, _STRIPED.stripes)}")
+def striped_probe(spark, sf_dir):
+    items, plan = _striped(spark, sf_dir)
+    names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("item")).union(_table(spark, sf_dir, "customer").select("c_name")).distinct()
+    return probe.probe(names, "item", build.packed_bits(items, "p_name", plan, _STRIPED.stripes), plan, _STRIPED.stripes)
+
+
+@query("striped_probe_local", ORACLES["striped_probe"])
+def striped_probe_local(spark, sf_dir):
+    items, plan = _striped(spark, sf_dir)
+    names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("item")).union(_table(spark, sf_dir, "customer").select("c_name")).distinct()
+    return probe.probe_local(names, "item", build.packed_bits(items, "p_name", plan, _STRIPED.stripes), plan, _STRIPED)
+
+
+# Membership as joins --------------------------------------------------------------------------------------------------
+
+@query("membership_semi_join", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def membership_semi_join(spark, sf_dir):
+    urgent = _table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+
+
+@query("membership_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def membership_anti_join(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(_table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+@query("bloom_prefilter_join", "SELECT l.l_orderkey, l.l_linenumber, o.o_totalprice FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderpriority = '1-URGENT'")
+def bloom_prefilter_join(spark, sf_dir):
+    urgent = _table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    plan = fixed(max(1, urgent.count()), 0.01)
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    packed = build.packed_bits(urgent.select("l_orderkey"), "l_orderkey", plan)
+    if probe.packed_size(plan) > probe.BROADCAST_BYTES:
+        return lines.join(urgent, "l_orderkey")
+    return probe.prefiltered_join(lines, urgent, "l_orderkey", packed, plan)
+
+
+# Web-index lines ------------------------------------------------------------------------------------------------------
+
+_PAYLOAD = """'{"url":"' || replace(url, '"', '') || '","status":"' || CASE WHEN page_id % 5 = 0 THEN '404' WHEN page_id % 11 = 0 THEN '301' ELSE '200' END || '"' || CASE WHEN page_id % 7 = 0 THEN '' ELSE ',"mime":"text/html"' END || '}'"""
+_LINE = f"CASE WHEN page_id % 17 = 0 THEN substr('com,example)/' || page_id || ' 20240222000000 ' || {_PAYLOAD}, 1, 40) WHEN page_id % 19 = 0 THEN 'onlytwo parts' ELSE 'com,example)/' || page_id || ' 20240222000000 ' || {_PAYLOAD} END"
+_PARSED = f"""(SELECT page_id, valid AS is_valid, CASE WHEN valid THEN rest->>'$.url' END AS url, CASE WHEN valid THEN rest->>'$.status' END AS status, CASE WHEN valid THEN rest->>'$.mime' END AS mime, CASE WHEN valid THEN urlkey END AS urlkey, CASE WHEN valid THEN ts END AS ts FROM (
+    SELECT page_id, urlkey, ts, CASE WHEN n >= 3 AND json_valid(payload) THEN payload::JSON END AS rest, coalesce(n >= 3 AND json_valid(payload), false) AS valid FROM (
+    SELECT page_id, split_part(line, ' ', 1) AS urlkey, split_part(line, ' ', 2) AS ts, len(string_split(line, ' ')) AS n, substr(line, len(split_part(line, ' ', 1)) + len(split_part(line, ' ', 2)) + 3) AS payload FROM (SELECT page_id, {_LINE} AS line FROM pages))))"""
+
+
+def _lines(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.expr(_LINE).alias("value"))
+
+
+def _parsed(spark, sf_dir):
+    return cdxj.parse(_lines(spark, sf_dir)).drop("value")
+
+
+@query("cdxj_parse", f"SELECT page_id, is_valid, urlkey, ts, url, status, mime FROM {_PARSED}")
+def cdxj_parse(spark, sf_dir):
+    return _parsed(spark, sf_dir)
+
+
+@query("cdxj_urls", f"SELECT url FROM {_PARSED} WHERE is_valid AND url IS NOT NULL AND url <> ''")
+def cdxj_urls(spark, sf_dir):
+    return cdxj.urls(_parsed(spark, sf_dir))
+
+
+@query("cdxj_urls_limit", f"SELECT url FROM {_PARSED} WHERE is_valid AND url IS NOT NULL AND url <> '' ORDER BY page_id LIMIT 20")
+def cdxj_urls_limit(spark, sf_dir):
+    return cdxj.urls(_parsed(spark, sf_dir).orderBy("page_id"), 20)
+
+
+@query("cdxj_quality", f"SELECT sum(is_valid::INT)::BIGINT AS valid, sum((NOT is_valid)::INT)::BIGINT AS corrupted, round(100.0 * sum(is_valid::INT) / count(*), 6)::DOUBLE AS valid_pct, round(100.0 * sum((NOT is_valid)::INT) / count(*), 6)::DOUBLE AS corrupted_pct FROM {_PARSED}")
+def cdxj_quality(spark, sf_dir):
+    return cdxj.quality(_parsed(spark, sf_dir))
+
+
+@query("cdxj_top_status", f"SELECT coalesce(status, 'Unknown') AS status, count(*) AS n FROM {_PARSED} WHERE is_valid GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
+def cdxj_top_status(spark, sf_dir):
+    return cdxj.top_values(_parsed(spark, sf_dir), "status")
+
+
+@query("cdxj_top_mime", f"SELECT coalesce(mime, 'Unknown') AS mime, count(*) AS n FROM {_PARSED} WHERE is_valid GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
+def cdxj_top_mime(spark, sf_dir):
+    return cdxj.top_values(_parsed(spark, sf_dir), "mime")
+
+
+@query("cdxj_outcome", f"SELECT CASE WHEN sum((NOT is_valid)::INT) / count(*) > 0.05 THEN 'WARNING' ELSE 'SUCCESS' END AS outcome FROM {_PARSED}")
+def cdxj_outcome(spark, sf_dir):
+    q = cdxj.quality(_parsed(spark, sf_dir))
+    return q.select(cdxj.outcome(F.col("corrupted"), F.col("valid") + F.col("corrupted")).alias("outcome"))
+
+
+@query("cdxj_preview", f"SELECT page_id, {_LINE} AS value FROM pages ORDER BY page_id LIMIT 3")
+def cdxj_preview(spark, sf_dir):
+    return cdxj.preview(_lines(spark, sf_dir).orderBy("page_id"))
+
+
+# Text, generators, checksums ------------------------------------------------------------------------------------------
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("text_scan_nonblank", f"SELECT doc_id, line_no::INTEGER AS line_no, trim(line, {_SPACE}) AS value FROM (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)) WHERE trim(line, {_SPACE}) <> ''")
+def text_scan_nonblank(spark, sf_dir):
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", text.stripped(F.col("line")).alias("value")).filter("value <> ''")
+
+
+@query("load_split_present_absent", "SELECT ordinal::BIGINT AS ordinal, url, ordinal < 100 AS is_present FROM (SELECT url, row_number() OVER (ORDER BY page_id) - 1 AS ordinal FROM pages) WHERE ordinal < 150")
+def load_split_present_absent(spark, sf_dir):
+    pages = build.with_ordinal(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    return text.split_present_absent(pages, 100, 50).select("ordinal", "url", "is_present")
+
+
+@query("synthetic_items", "SELECT i AS ordinal, 'IN_' || i AS item FROM range(1000) t(i) UNION ALL SELECT i, 'OUT_' || i FROM range(1000) t(i)")
+def synthetic_items(spark, sf_dir):
+    return generators.labelled(spark, "IN_", 1000).unionByName(generators.labelled(spark, "OUT_", 1000))
+
+
+@query("session_stream_items", "SELECT i AS ordinal, 'USER_SESSION_' || (i % 10000) || '_' || i AS item FROM range(25000) t(i)")
+def session_stream_items(spark, sf_dir):
+    return generators.sessions(spark, 25_000)
+
+
+@query("sha256_items", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def sha256_items(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("json_props_groupcount", "SELECT coalesce(props->>'$.k', 'Unknown') AS k, count(*) AS n FROM events GROUP BY 1")
+def json_props_groupcount(spark, sf_dir):
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit("Unknown"))
+    return _table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Statistics of timings ------------------------------------------------------------------------------------------------
+
+#: Timings derived from events: the architecture is the event type, seven runs for each of eight worker counts.
+_RUNS = "(SELECT event_type AS architecture, (user_id % 8 + 1)::INTEGER AS workers, (event_id % 7)::INTEGER AS run_idx, max(value) AS seconds FROM events GROUP BY ALL)"
+_MEANS = f"(SELECT architecture, workers, round(avg(seconds), 6) AS mean FROM {_RUNS} WHERE run_idx >= 2 GROUP BY ALL)"
+_MARGIN = "CASE WHEN count(seconds) > 1 THEN 2.776 * stddev_samp(seconds) / sqrt(count(seconds)) ELSE 0 END"
+
+
+def _runs(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    keys = [F.col("event_type").alias("architecture"), (F.col("user_id") % 8 + 1).cast("int").alias("workers"), (F.col("event_id") % 7).cast("int").alias("run_idx")]
+    return e.groupBy(*keys).agg(F.max("value").alias("seconds"))
+
+
+def _means(spark, sf_dir):
+    return stats.mean_ci(stats.measured(_runs(spark, sf_dir)), "architecture", "workers").select("architecture", "workers", "mean")
+
+
+@query("warmup_filter", f"SELECT architecture, workers, run_idx, seconds FROM {_RUNS} WHERE run_idx >= 2")
+def warmup_filter(spark, sf_dir):
+    return stats.measured(_runs(spark, sf_dir))
+
+
+@query("stats_ci", f"SELECT architecture, workers, count(*) AS n, round(avg(seconds), 6) AS mean, round({_MARGIN}, 6) AS margin FROM {_RUNS} WHERE run_idx >= 2 GROUP BY ALL")
+def stats_ci(spark, sf_dir):
+    return stats.mean_ci(stats.measured(_runs(spark, sf_dir)), "architecture", "workers")
+
+
+@query("stats_full", f"SELECT architecture, workers, count(*) AS n, round(avg(seconds), 6) AS mean, round(median(seconds), 6) AS median, round({_MARGIN}, 6) AS margin, round(avg(seconds) - {_MARGIN}, 6) AS ci_lower, round(avg(seconds) + {_MARGIN}, 6) AS ci_upper FROM {_RUNS} WHERE run_idx >= 2 GROUP BY ALL")
+def stats_full(spark, sf_dir):
+    return stats.full_stats(stats.measured(_runs(spark, sf_dir)), "architecture", "workers").drop("raw_runs")
+
+
+_TOTALS = f"(SELECT architecture, round(sum(mean), 6) AS total FROM {_MEANS} GROUP BY 1)"
+
+
+def _totals(spark, sf_dir):
+    return _means(spark, sf_dir).groupBy("architecture").agg(F.round(F.sum("mean"), 6).alias("total"))
+
+
+@query("speedup_vs_baseline", f"SELECT architecture, total, round(CASE WHEN total > 0 THEN (SELECT total FROM {_TOTALS} WHERE architecture = 'click') / total ELSE 0 END, 6) AS speedup FROM {_TOTALS}")
+def speedup_vs_baseline(spark, sf_dir):
+    return stats.speedup_vs_baseline(_totals(spark, sf_dir), "click").withColumn("speedup", F.round("speedup", 6))
+
+
+@query("speedup_vs_one_worker", f"SELECT architecture, workers, mean, round(CASE WHEN mean > 0 THEN first_value(mean) OVER (PARTITION BY architecture ORDER BY workers) / mean ELSE 0 END, 6) AS speedup FROM {_MEANS}")
+def speedup_vs_one_worker(spark, sf_dir):
+    return stats.speedup_vs_one_worker(_means(spark, sf_dir)).withColumn("speedup", F.round("speedup", 6))
+
+
+@query("weak_baseline", f"SELECT architecture, workers, mean, (SELECT mean FROM {_MEANS} ORDER BY architecture, workers LIMIT 1) AS baseline FROM {_MEANS}")
+def weak_baseline(spark, sf_dir):
+    return stats.weak_baseline(_means(spark, sf_dir))
+
+
+@query("optimal_chunk", f"SELECT chunk_size, mean FROM (SELECT workers * 10000 AS chunk_size, round(avg(mean), 6) AS mean FROM {_MEANS} GROUP BY 1) ORDER BY mean, chunk_size LIMIT 1")
+def optimal_chunk(spark, sf_dir):
+    means = _means(spark, sf_dir).groupBy((F.col("workers") * 10_000).alias("chunk_size")).agg(F.round(F.avg("mean"), 6).alias("mean"))
+    return stats.optimal_chunk(means)
+
+
+@query("ci_band", f"SELECT architecture, workers, mean, margin, round(mean - margin, 6) AS low, round(mean + margin, 6) AS high FROM ({ORACLES['stats_ci']})")
+def ci_band(spark, sf_dir):
+    band = stats.ci_band(stats_ci(spark, sf_dir).select("architecture", "workers", "mean", "margin"))
+    return band.withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
+
+
+_PHASES = "(SELECT l_returnflag AS architecture, avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS ins, avg(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS reads, count(*) AS items FROM lineitem GROUP BY 1)"
+
+
+def _phases(spark, sf_dir):
+    q = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_quantity")))
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("architecture")).agg(q("O").alias("ins"), q("F").alias("reads"), F.count(F.lit(1)).alias("items"))
+
+
+@query("total_exec_time", f"SELECT architecture, round(coalesce(ins, 0) + coalesce(reads, 0), 6) AS total FROM {_PHASES}")
+def total_exec_time(spark, sf_dir):
+    return _phases(spark, sf_dir).select("architecture", F.round(stats.total_time(F.col("ins"), F.col("reads")), 6).alias("total"))
+
+
+@query("throughput", f"SELECT architecture, items, round(CASE WHEN ins > 0 THEN items / ins ELSE 0 END, 4) AS items_per_second, round(CASE WHEN reads < ins AND reads > 0 THEN ins / reads END, 6) AS async_speedup FROM {_PHASES}")
+def throughput(spark, sf_dir):
+    rated = stats.throughput(_phases(spark, sf_dir), "items", "ins")
+    return rated.select("architecture", "items", F.round("items_per_second", 4).alias("items_per_second"), F.round(stats.async_speedup(F.col("ins"), F.col("reads")), 6).alias("async_speedup"))
+
+
+_OUTPUTS = [(1, "[METRIC] Throughput: 1,234,567 items/second\n[METRIC] Throughput:  2,500,000 items/second\nSpeedup: 2.02x"), (2, "[METRIC] Throughput: 900 items/second"), (3, "nothing")]
+
+
+@query("metric_scrape", "SELECT * FROM (VALUES (1, 1234567.0::DOUBLE, 2500000.0::DOUBLE, 2.02::DOUBLE), (2, 900.0, NULL, 1.0), (3, NULL, NULL, 1.0)) t(run, sequential, asynchronous, speedup)")
+def metric_scrape(spark, sf_dir):
+    return spark.createDataFrame(_OUTPUTS, "run int, output string").select("run", *telemetry.scraped(F.col("output")))
+
+
+# Streaming ------------------------------------------------------------------------------------------------------------
+
+_STREAM = FilterConfig(100, 0.02)
+
+
+def _streamed(spark, sf_dir, max_layers: int, batches: int = 4):
+    """Events split by event_id into files, streamed one file a batch."""
+    base = store.scratch(spark)
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id")
+    span = e.agg(F.max("event_id")).first()[0] + 1
+    for b in range(batches):  # in this order, so that the source lists them so
+        e.filter((F.col("event_id") * batches / span).cast("int") == b).coalesce(1).write.parquet(f"{base}/in/part={b}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/part=*")
+    ingestor = ingest.Ingestor(spark, f"{base}/state", "user_id", _STREAM, order="event_id", max_layers=max_layers)
+    q = ingest.ingest(stream, ingestor, f"{base}/log")
+    q.awaitTermination()
+    return ingestor, q
+
+
+@query("stream_ingest_layers", f"SELECT layer, count(*) AS n_items, capacity FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM events) JOIN (SELECT layer, lo, hi, hi - lo AS capacity FROM {_values(_longest(_STREAM))}) ON ordinal >= lo AND ordinal < hi GROUP BY layer, capacity")
+def stream_ingest_layers(spark, sf_dir):
+    ingestor, _ = _streamed(spark, sf_dir, max_layers=30)
+    return ingestor.layers(ingestor.last).select("layer", "n_items", "capacity")
+
+
+@query("stream_aging")
+def stream_aging(spark, sf_dir):
+    ingestor, _ = _streamed(spark, sf_dir, max_layers=2)
+    return ingestor.layers(ingestor.last)
+
+
+@query("stream_batch_stats")
+def stream_batch_stats(spark, sf_dir):
+    _, q = _streamed(spark, sf_dir, max_layers=30)
+    rows = [(s["batch"], s["rows"], float(s["seconds"]), float(s["items_per_second"])) for s in ingest.batch_stats(q)]
+    return spark.createDataFrame(rows, "batch long, rows long, seconds double, items_per_second double")
+
+
+# The compat hash family: no other engine here computes it ---------------------------------------------------------------
+
+def _compat_items(spark, sf_dir):
+    items = build.with_ordinal(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    config = FilterConfig(100, 0.01)
+    return items, config, build.scalable_plan(items, config)
+
+
+@query("compat_bits")
+def compat_bits(spark, sf_dir):
+    items, config, plan = _compat_items(spark, sf_dir)
+    return build.compat_bits(items, "url", plan, config)
+
+
+@query("compat_probe")
+def compat_probe(spark, sf_dir):
+    items, config, plan = _compat_items(spark, sf_dir)
+    packed = build.pack(build.compat_bits(items, "url", plan, config))
+    names = items.select(F.col("url").alias("item")).unionByName(items.select(F.concat("url", F.lit("#absent")).alias("item")))
+    return probe.probe_local(names, "item", packed, plan, config, family="compat")
