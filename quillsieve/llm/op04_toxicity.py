@@ -135,3 +135,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows, with all their columns, whose whole text scores below 0.5."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        cache: dict[bytes, float] = {}
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                part = batch.slice(begin, 1000)
+                keep = [model.score(x.as_py(), cache) < 0.5 for x in part.column(at).cast(pa.binary())]
+                yield part.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
