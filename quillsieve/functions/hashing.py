@@ -110,7 +110,7 @@ def with_compat_pair(df: DataFrame, data: Column, route: bool = False) -> DataFr
     plain = df.withColumn("__data", data)
     schema = plain.drop("__data").schema
     for name in names:
-        schema = schema.add(name, "int" if name == "route" else "long")
+        schema = schema.add(name, "integer" if name == "route" else "long")
 
     def run(batches):
         for batch in batches:

@@ -92,7 +92,9 @@ class Ingestor:
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         before = self._read_state(epoch - 1)
-        rows = with_ordinal(batch.select(*dict.fromkeys([self.item, self.order])), self.order)
+        batch = batch.select(*dict.fromkeys([self.item, self.order])).persist()  # sorting reads it twice, the source once
+        rows = with_ordinal(batch, self.order)
+        batch.unpersist()
         n = rows.count()
         after, dealt = advance(before, n, self.config)
         after = aged(after, self.max_layers)
