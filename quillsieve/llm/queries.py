@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsieve.llm import oracles
 from quillsieve.llm.op01_substring_dedup import substring_dedup
 from quillsieve.llm.op02_mixture import mix_sources
 from quillsieve.llm.op03_neighbours import nearest
@@ -91,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_near_vectors": oracles.NEAR_VECTORS}
