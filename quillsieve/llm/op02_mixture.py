@@ -158,7 +158,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: i
 
     slots = drawn.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(fill, "src int, block long, epoch long, words long, shard long, slot long")
     pieces = placed.filter("size > 0").select("src", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    takes = slots.join(pieces, ["src", "block"]).select(
+    # Statistics see the few rows that slots are made from, not the slots: the hint keeps them from being broadcast.
+    takes = slots.hint("merge").join(pieces, ["src", "block"]).select(
         "src", "start", "epoch", "shard", "slot",
         F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("from_word"),
         F.least(F.col("size"), F.col("block") * block + F.col("words") - F.col("start")).alias("to_word"),
