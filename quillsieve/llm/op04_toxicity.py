@@ -17,6 +17,7 @@ document are read, and doc_id is no input of a score.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,8 +63,8 @@ class ToxicityModel:
         return float(sigmoid(total))
 
 
-def _feature_rows(rows: DataFrame) -> list:
-    """(doc_id, distinct features) of a bounded set of rows."""
+def _feature_rows(rows: DataFrame) -> Iterator[np.ndarray]:
+    """The distinct features of each of a bounded set of rows, one after another."""
 
     def run(batches):
         for batch in batches:
@@ -72,21 +73,26 @@ def _feature_rows(rows: DataFrame) -> list:
                 found = [np.unique(np.array([f for w in distinct_words(x) for f in features(w)], dtype=np.int32)) for x in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array([x.tobytes() for x in found], type=pa.binary())], names=["doc_id", "f"])
 
-    return [np.frombuffer(r.f, dtype=np.int32) for r in rows.mapInArrow(run, "doc_id long, f binary").sort("doc_id", "f").toLocalIterator()]
+    for r in rows.mapInArrow(run, "doc_id long, f binary").sort("doc_id", "f").toLocalIterator():
+        yield np.frombuffer(r.f, dtype=np.int32)
 
 
-def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, least: int = 8, steps: int = 250, rate: float = 0.05, decay: float = 1e-4) -> tuple[dict[int, float], float]:
+def nnpu(pos: list[np.ndarray], unl: Iterable[np.ndarray], prior: float, least: int = 8, steps: int = 250, rate: float = 0.05, decay: float = 1e-4) -> tuple[dict[int, float], float | None]:
     """Weights of features that at least `least` positives have, and the bias, by non-negative PU risk."""
-    counts = np.bincount(np.concatenate(pos), minlength=DIMENSIONS)
+    counts = np.zeros(DIMENSIONS, dtype=np.int32)
+    for row in pos:
+        counts[row] += 1  # features of a row are distinct
     chosen = np.flatnonzero(counts >= min(least, max(1, len(pos) // 4)))
     place = np.full(DIMENSIONS, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def matrix(rows):
         columns = [x[x >= 0] for x in (place[r] for r in rows)]
-        return np.concatenate([*columns, np.zeros(0, dtype=np.int32)]), np.repeat(np.arange(len(rows)), [len(c) for c in columns])
+        return np.concatenate([*columns, np.zeros(0, dtype=np.int32)]), np.repeat(np.arange(len(columns)), [len(c) for c in columns]), len(columns)
 
-    (pc, pr), (uc, ur), n = matrix(pos), matrix(unl), len(chosen)
+    (pc, pr, n_pos), (uc, ur, n_unl), n = matrix(pos), matrix(unl), len(chosen)
+    if not n_unl:
+        return {}, None
     w, adam = np.zeros(n + 1), Adam(n + 1, rate)
     w[n] = np.log(prior / (1 - prior))
 
@@ -94,11 +100,11 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, least: int
         return np.concatenate([np.bincount(columns, weights=g[rows], minlength=n), [g.sum()]])
 
     for _ in range(steps):
-        sp = np.bincount(pr, weights=w[pc], minlength=len(pos)) + w[n]
-        su = np.bincount(ur, weights=w[uc], minlength=len(unl)) + w[n]
+        sp = np.bincount(pr, weights=w[pc], minlength=n_pos) + w[n]
+        su = np.bincount(ur, weights=w[uc], minlength=n_unl) + w[n]
         # logistic loss: l(+) = log(1 + e^-s), l(-) = log(1 + e^s)
-        g_plus = -(1 - sigmoid(sp)) / len(pos)
-        g_p_minus, g_u_minus = sigmoid(sp) / len(pos), sigmoid(su) / len(unl)
+        g_plus = -(1 - sigmoid(sp)) / n_pos
+        g_p_minus, g_u_minus = sigmoid(sp) / n_pos, sigmoid(su) / n_unl
         negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
         grad_negative = back(uc, ur, g_u_minus) - prior * back(pc, pr, g_p_minus)
         grad = prior * back(pc, pr, g_plus) + grad_negative if negative >= 0 else -grad_negative
@@ -114,9 +120,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 4000, unla
     if not counts.n or not counts.toxic:
         return ToxicityModel({}, None)
     prior = min(0.95, counts.toxic / counts.n)
-    pos = _feature_rows(rows_of(docs, sample_ids(train.filter("toxic = 1"), positives, seed)))
+    pos = list(_feature_rows(rows_of(docs, sample_ids(train.filter("toxic = 1"), positives, seed))))
     unl = _feature_rows(rows_of(docs, sample_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out()), unlabelled, seed + 1)))
-    if not pos or not unl:
+    if not pos:
         return ToxicityModel({}, None)
     return ToxicityModel(*nnpu(pos, unl, prior))
 
