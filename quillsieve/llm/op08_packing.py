@@ -11,8 +11,12 @@ table gives an empty result; repeated rows are packed each; other columns are ig
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,42 +25,88 @@ from pyspark.sql import functions as F
 
 from quillsieve.llm.shared import materialize
 
-#: Words whose ids a worker remembers; beyond, it forgets them all and starts again.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps for all its tasks (the first it meets), and for a while.
+KEPT_WORDS, RECENT_WORDS = 250_000, 50_000
+_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+#: ASCII letters before other ASCII marks without apostrophes are tokenized apart by the tokenizer itself.
+_TAIL = re.compile(rb"([a-z]+)([^a-z0-9'\x80-\xff]+)")
 
 
 class Ids:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
     A text's ids are those of its white-space separated words, which are looked up; unknown words
     of a batch go to the tokenizer together. Words are split at ASCII white space; a word that
-    holds other white space is one call's text as a whole, which gives the same ids.
+    holds other white space is one call's text as a whole, which gives the same ids. ASCII case is
+    dropped first, but where the text may spell a special token.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.kept, self.recent = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Asks the tokenizer for unknown words: letters only by the hundred, each ends with the id that ends a word."""
+        known = {w: w.decode("utf-8", "replace") for w in words}
+        plain = [w for w, x in known.items() if x.isalpha() and x.lower().isalpha()]
+        other = known.keys() - set(plain)
+        groups = [plain[at : at + 100] for at in range(0, len(plain), 100)]
+        for part, ids in zip(groups, self._encoded([" ".join(known[w] for w in g) for g in groups]), strict=True):
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(part):  # some word is no single one to the tokenizer
+                other |= set(part)
+                continue
+            raw = ids.tobytes()
+            for word, a, b in zip(part, [0, *ends], ends, strict=False):
+                self._keep(word, raw[4 * a : 4 * b])
+        rest = list(other)
+        for word, ids in zip(rest, self._encoded([known[w] for w in rest]), strict=True):
+            self._keep(word, ids.tobytes())
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), 1000):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u4")
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        (self.kept if len(self.kept) < KEPT_WORDS else self.recent)[word] = ids
+
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        return words.difference(self.kept).difference(self.recent)
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, id 0 at the end."""
-        split = [x.split() if x else [] for x in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + b"\0\0\0\0" for words in split]
+        split = [(x if b"<|" in x else x.translate(_LOWER)).split() if x else [] for x in texts]
+        if len(self.recent) > RECENT_WORDS:
+            self.recent.clear()
+        new = self._unknown(set().union(*split))
+        tails = {w: (m[1], m[2]) for w in new if (m := _TAIL.fullmatch(w)) and b"<|" not in w}
+        self._learn(list(self._unknown((new - tails.keys()).union(*tails.values()))))
+        for word, (a, b) in tails.items():
+            self.recent[word] = self._of(a) + self._of(b)
+        kept, of = self.kept.get, self._of
+        return [b"".join([kept(w) or of(w) for w in words]) + b"\0\0\0\0" for words in split]
+
+    def _of(self, word: bytes) -> bytes:
+        ids = self.kept.get(word)
+        return self.recent[word] if ids is None else ids
+
+
+@lru_cache(maxsize=2)
+def ids_by(path: str) -> Ids:
+    return Ids(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, cut into pieces of `length` where longer."""
 
     def run(batches):
-        ids_of = Ids(tokenizer)
+        ids_of = ids_by(tokenizer)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, batch.num_rows, 200):
