@@ -34,25 +34,31 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SEED = 42
 
 
-def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
-    """Bit majority of the XXH64 of all word shingles, repeats included; big-endian, 8 bytes for each of `words`.
-
-    Words after the first take the majority of the same hashes mixed anew.
-    """
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; a text of fewer words is one shingle."""
     import xxhash
 
     found = text.translate(_LOWER).split() if text else []
     if not found:
-        return bytes(8 * words)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(found)
     digest = xxhash.xxh64_intdigest
     if len(found) <= shingle:
-        hashes = np.array([digest(joined, SEED)], dtype=np.uint64)
-    else:
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
-        ends = np.cumsum(sizes)
-        begins = (ends - sizes)[: len(found) - shingle + 1].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
+    ends = np.cumsum(sizes)
+    begins = (ends - sizes)[: len(found) - shingle + 1].tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(begins, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
+    """Bit majority of the XXH64 of all word shingles, repeats included; big-endian, 8 bytes for each of `words`.
+
+    Words after the first take the majority of the same hashes mixed anew.
+    """
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return bytes(8 * words)
     out = b""
     for k in range(words):
         ones = np.zeros(64, dtype=np.int64)

@@ -13,6 +13,8 @@ from quillsieve.llm.shared import materialize
 
 #: Rows of a group that one task compares with one another.
 BLOCK = 2048
+#: Bytes of whole groups that a task holds before it compares them (about).
+HELD_BYTES = 64 << 20
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -31,15 +33,17 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.ndarray], tuple], payload: list[str]) -> DataFrame:
+def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.ndarray], tuple], payload: list[str], block: int | None = None) -> DataFrame:
     """(u, v, links) from groups of rows with the same `key` (long), each row a `node` (long) and payload columns.
 
     solve(table, group, side): many whole groups at once; group numbers the rows' groups in order; side is 0, or 0
     and 1 where only rows of different sides are to be compared. It gives (row, row, links of every row): pairs of
     rows that are linked, or enough of them to connect what is linked, and counts.
 
-    Groups above BLOCK rows come back in parts; each two parts (and each part with itself) then meet in a task.
+    Groups above `block` rows (BLOCK by default) come back in parts; each two parts (and each part with itself) then
+    meet in a task.
     """
+    block = block or BLOCK
     spark = rows.sparkSession
     schema = "u long, v long, links long, key long, part long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*payload).schema)
 
@@ -58,7 +62,7 @@ def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.nd
         return pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(counts), *(pa.nulls(len(u), t) for t in (pa.int64(), pa.int64(), *(table.schema.field(p).type for p in payload)))], names=["u", "v", "links", "key", "part", *payload])
 
     def first(batches):
-        """Whole groups at once; what exceeds BLOCK rows of a group is passed on in parts."""
+        """Whole groups at once; what exceeds `block` rows of a group is passed on in parts."""
         held: list[pa.Table] = []
         held_rows, large, seen = 0, None, 0
 
@@ -73,7 +77,7 @@ def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.nd
 
         def passed(table: pa.Table, begin: int) -> pa.RecordBatch:
             n = table.num_rows
-            part = (begin + np.arange(n)) // BLOCK
+            part = (begin + np.arange(n)) // block
             columns = [table.column("node").combine_chunks(), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, dtype=np.int64)), table.column("key").combine_chunks(), pa.array(part), *(table.column(p).combine_chunks() for p in payload)]
             return pa.RecordBatch.from_arrays([c if not isinstance(c, pa.ChunkedArray) else c.chunk(0) for c in columns], names=["u", "v", "links", "key", "part", *payload])
 
@@ -96,7 +100,7 @@ def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.nd
                     start = 1
                 if len(sizes) > start or keys[0] != large:
                     large = None
-            for k in [*np.flatnonzero(sizes > BLOCK).tolist()]:
+            for k in [*np.flatnonzero(sizes > block).tolist()]:
                 if k < start:
                     continue
                 if k > start:
@@ -111,7 +115,7 @@ def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.nd
                     held.append(table.slice(int(edges[start]), int(edges[-2] - edges[start])))
                     held_rows += int(edges[-2] - edges[start])
                 open_ = table.slice(int(edges[-2]))
-            if held_rows >= 4 * BLOCK:
+            if held_rows >= 4 * block or sum(t.nbytes for t in held) > HELD_BYTES:
                 yield from flush()
         if open_ is not None:
             held.append(open_)

@@ -63,3 +63,21 @@ def test_passages_go(spark):
     got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
     assert got[9].text == "clean text" and got[9].n_chars == 10
     assert all("p75" not in got[k].text and f"begin{k}" in got[k].text and got[k].n_chars == len(got[k].text) for k in range(5))
+
+
+def altered(seed, n, edits):
+    """Two texts of n words, the second with `edits` words far apart replaced, and their Jaccard similarity."""
+    first = [f"s{seed}w{k}" for k in range(n)]
+    second = list(first)
+    for k in range(edits):
+        second[10 + 20 * k] = f"s{seed}x{k}"
+    a, b = ({tuple(w[k : k + 5]) for k in range(n - 4)} for w in (first, second))
+    return " ".join(first), " ".join(second), len(a & b) / len(a | b)
+
+
+def test_near_copies_from_a_similarity_of_8_in_10(spark):
+    pairs = [altered(k, 304 + 20 * (k % 3), 6) for k in range(200)]
+    assert all(0.8 <= s < 0.84 for _, _, s in pairs)
+    rows = [(2 * k + at, p[at], "en", "s", 0) for k, p in enumerate(pairs) for at in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == list(range(0, 400, 2))
