@@ -81,3 +81,12 @@ def test_near_copies_from_a_similarity_of_8_in_10(spark):
     rows = [(2 * k + at, p[at], "en", "s", 0) for k, p in enumerate(pairs) for at in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == list(range(0, 400, 2))
+
+
+def test_clean_documents_with_a_repeated_line_stay(spark):
+    line = " ".join(f"l{k}" for k in range(14))
+    rows = [(k, " ".join(f"d{k}w{j}" for j in range(304)) + f"\n{line}" * 30, "en", "s", 0) for k in range(40)]
+    # Half and three quarters of the shingles in common: no copies either.
+    rows += [(100 + 2 * k + at, altered(1000 + k, 304, edits)[at], "en", "s", 0) for k, edits in enumerate([9, 10, 12, 14] * 5) for at in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.near_copies(spark, docs, SF).count() == 80
