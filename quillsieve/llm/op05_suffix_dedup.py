@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.phrases import by_document, byte_tokens, covered, in_shards, occurrences, repeats, runs, shard_rows
+from quillsieve.llm.phrases import by_document, byte_tokens, covered, in_shards, occurrences, repeats, runs, shard_rows, word_bounds, word_tokens
 from quillsieve.llm.shared import materialize
+from quillsieve.llm.textstats import buffer_of
 
-GRAM = 160
+#: Bytes, or words, of a trigger.
+GRAM, WORD_GRAM = 160, 20
 SHARD_BYTES = 400_000
 
 
@@ -30,6 +32,10 @@ def _payload(tokens: np.ndarray, data: np.ndarray, first: int, n: int) -> bytes:
     return data[first : first + n].tobytes()
 
 
+def _word_payload(tokens: np.ndarray, data: np.ndarray, first: int, n: int) -> bytes:
+    return tokens[first : first + n].tobytes()
+
+
 def _dense(keys: np.ndarray) -> np.ndarray:
     """Ranks of keys among the distinct ones."""
     order = np.argsort(keys)
@@ -40,15 +46,15 @@ def _dense(keys: np.ndarray) -> np.ndarray:
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of their `width` bytes, and for each whether it equals the one before it.
+    """The starts in the order of their `width` tokens, and for each whether it equals the one before it.
 
-    Prefix doubling over all suffixes, from 8 bytes (or fewer) to the largest power that fits; two such
-    ranks decide a start's place.
+    Prefix doubling over all suffixes, from 8 bytes (or fewer; or one word's 64 bits) to the largest power that
+    fits; two such ranks decide a start's place.
     """
     n, have = len(data), 1
-    padded = np.concatenate([data, np.zeros(width + 8, dtype=np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(width + 8, dtype=data.dtype)]).astype(np.uint64)
     keys = padded.copy()
-    while have < 8 and 2 * have <= width:
+    while data.dtype == np.uint8 and have < 8 and 2 * have <= width:
         keys = np.concatenate([(keys[:-have] << np.uint64(8 * have)) | keys[have:], np.zeros(have, dtype=np.uint64)])
         have *= 2
     ranks = _dense(keys[:n])
@@ -62,10 +68,10 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.n
     return order, np.concatenate([[False], in_order[1:] == in_order[:-1]])
 
 
-def solve(shard: list[tuple], width: int) -> list[tuple[int, int, int]]:
-    """Windows of phrases that the parse holds once, but whose bytes occur elsewhere in the dictionary."""
-    data = np.frombuffer(b"".join(row[5] for row in shard), dtype=np.uint8)
-    begins = np.cumsum([0, *(len(row[5]) for row in shard)])[:-1]
+def solve(shard: list[tuple], width: int, token: type = np.uint8) -> list[tuple[int, int, int]]:
+    """Windows of phrases that the parse holds once, but whose tokens occur elsewhere in the dictionary."""
+    data = np.frombuffer(b"".join(row[5] for row in shard), dtype=token)
+    begins = np.cumsum([0, *(len(row[5]) // data.itemsize for row in shard)])[:-1]
     counts = np.array([row[3] for row in shard], dtype=np.int64)
     phrase = np.repeat(np.arange(len(shard)), counts)
     ordinal = np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -86,22 +92,24 @@ def solve(shard: list[tuple], width: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeated_strings(docs: DataFrame, width: int = 400) -> DataFrame:
-    """(doc_id, pos, n): n consecutive strings of `width` bytes from byte pos that occur elsewhere too."""
-    found = repeats(occurrences(docs, byte_tokens, width, min(GRAM, max(1, width // 2))))
+def repeated_strings(docs: DataFrame, width: int = 400, words: bool = False) -> DataFrame:
+    """(doc_id, pos, n): n consecutive strings of `width` bytes (or words) from pos that occur elsewhere too."""
+    tokens, gram, payload, token = (word_tokens, WORD_GRAM, _word_payload, np.uint64) if words else (byte_tokens, GRAM, _payload, np.uint8)
+    found = repeats(occurrences(docs, tokens, width, min(gram, max(1, width // 2))))
     whole = found.marked().filter("times > 1").select("doc_id", "pos", "n")
-    rows = materialize(shard_rows(docs, found.dictionary, byte_tokens, width, _payload))
-    parts = in_shards(rows, lambda shard: solve(shard, width), SHARD_BYTES)
+    rows = materialize(shard_rows(docs, found.dictionary, tokens, width, payload))
+    parts = in_shards(rows, lambda shard: solve(shard, width, token), SHARD_BYTES)
     windows = rows.filter("hot").select("trigger", "content", "doc_id", "pos", "times")
     several = materialize(windows.groupBy("trigger", "content").agg(F.sum("times").alias("total")).filter("total > 1").select("trigger", "content"))
     hot = windows.filter("times = 1").join(several, ["trigger", "content"]).select("doc_id", "pos", F.lit(1).alias("n"))
     return whole.unionByName(parts).unionByName(hot)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, whole_characters: bool = False, keep: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, whole_characters: bool = False, keep: list[str] | None = None, words: bool = False) -> DataFrame:
     """The kept columns (doc_id by default), n_bytes, n_removed, n_spans and kept: the bytes left.
 
     whole_characters: a span shrinks to the UTF-8 characters that lie in it whole, so that kept is valid text.
+    words: strings of `width` words, whatever white space is between them; a span goes from its first word to its last.
     """
     keep = keep or ["doc_id"]
 
@@ -115,8 +123,13 @@ def suffix_dedup(docs: DataFrame, width: int = 400, whole_characters: bool = Fal
                     if not found:
                         rows.append((len(text), 0, 0, text))
                         continue
-                    first, end = runs(covered(found, width, len(text)))
-                    if whole_characters:
+                    if words:
+                        starts, ends = word_bounds(*buffer_of(pa.array([text], type=pa.binary())))
+                        first, end = runs(covered(found, width, len(starts)))
+                        first, end = starts[first], ends[end - 1]
+                    else:
+                        first, end = runs(covered(found, width, len(text)))
+                    if whole_characters and not words:
                         inner = (np.frombuffer(text + b" ", dtype=np.uint8) & 0xC0) == 0x80
                         for k in range(len(first)):
                             while inner[first[k]]:
@@ -131,7 +144,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, whole_characters: bool = Fal
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
     plain = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
-    spans = repeated_strings(docs, width)
+    spans = repeated_strings(docs, width, words)
     joined = by_document(plain, spans, ["pos", "n"], "left")
     schema = plain.drop("__text").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):

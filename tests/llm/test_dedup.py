@@ -136,3 +136,20 @@ def test_wide_fingerprints_find_copies_of_similarity(spark):
 def test_sha_of_an_unchanged_text(spark):
     got = op05_suffix_dedup.suffix_dedup(frame(spark, [(1, "abc\n")])).select(F.sha2("kept", 256)).first()[0]
     assert got == hashlib.sha256(b"abc\n").hexdigest()
+
+
+@pytest.mark.parametrize("seed, hot", [(1, 256), (3, 1)])
+def test_suffix_dedup_of_words(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(phrases, "HOT", hot)
+    docs = corpus(seed)
+    split = {d: brute.words(t) for d, t in docs}
+    counts = {}
+    for w in split.values():
+        for k in range(len(w) - 5):
+            counts[tuple(w[k : k + 6])] = counts.get(tuple(w[k : k + 6]), 0) + 1
+    kept = {}
+    for d, w in split.items():
+        gone = {j for k in range(len(w) - 5) if counts[tuple(w[k : k + 6])] > 1 for j in range(k, k + 6)}
+        kept[d] = [x for j, x in enumerate(w) if j not in gone]
+    got = op05_suffix_dedup.suffix_dedup(frame(spark, docs), width=6, words=True).collect()
+    assert {r.doc_id: brute.words(bytes(r.kept).decode()) for r in got} == kept

@@ -90,3 +90,12 @@ def test_clean_documents_with_a_repeated_line_stay(spark):
     rows += [(100 + 2 * k + at, altered(1000 + k, 304, edits)[at], "en", "s", 0) for k, edits in enumerate([9, 10, 12, 14] * 5) for at in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.near_copies(spark, docs, SF).count() == 80
+
+
+@pytest.mark.parametrize("size, gone", [(51, True), (50, False)])
+def test_passages_of_more_than_50_words_go(spark, size, gone):
+    passage = [chr(97 + k % 26) * (1 + k // 26) for k in range(size)]  # short words: 51 of them are 126 bytes
+    docs = spark.createDataFrame([(k, f"begin{k} é{k}\t{sep.join(passage)}\nend{k}", "en", "s", 0) for k, sep in enumerate([" ", " ", "\n"])], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    before = {r.doc_id: r.text for r in docs.collect()}
+    assert got == ({k: f"begin{k} é{k}\t\nend{k}" for k in range(3)} if gone else before)
