@@ -101,15 +101,16 @@ def _permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block: int = 256, shard_slots: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block: int = 256, shard_slots: int = 4096, seed: int = 17, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, takes).
 
-    documents: doc_id, source, size, source_size, target, src (the source's place in order), start (the document's
-    first word in its source's stream). takes: src, start, epoch, from_word, to_word, shard, slot: the words of the
+    documents: doc_id, source, the columns of keep, size, source_size, target, src (the source's place in order),
+    start (the document's first word in its source's stream). takes: src, start, epoch, from_word, to_word, shard, slot: the words of the
     document that a slot takes. The table of sources is gathered to the driver: one row for each distinct source.
     """
     spark = docs.sparkSession
-    sized = word_counts(docs, "doc_id", "source")
+    keep = keep or []
+    sized = word_counts(docs, "doc_id", "source", *keep)
     sized = materialize(sized)
     by_source = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"))
     found = sorted(by_source.collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -127,7 +128,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: i
     sums = materialize(sums.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(sums, ["src", "bucket"]).select("doc_id", "source", "size", "source_size", "target", "src", (F.col("base") + F.col("inside")).alias("start"))
+    placed = placed.join(sums, ["src", "bucket"]).select("doc_id", "source", *keep, "size", "source_size", "target", "src", (F.col("base") + F.col("inside")).alias("start"))
     placed = materialize(placed)
 
     # Slots: in each epoch the full blocks in permuted order, then the tail; the last epoch ends when the target is met.

@@ -99,3 +99,16 @@ def test_passages_of_more_than_50_words_go(spark, size, gone):
     got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
     before = {r.doc_id: r.text for r in docs.collect()}
     assert got == ({k: f"begin{k} é{k}\t\nend{k}" for k in range(3)} if gone else before)
+
+
+def test_rows_get_their_own_takes(spark):
+    """Of one doc_id, or of none: longer in bytes but not in words, and in several sources."""
+    texts = [" ".join(f"{'x' * (40 if size < 15 else 1)}{s}{d}w{k}" for k in range(size)) for s in "abc" for d, size in enumerate([10, 20, 12, 20])]
+    rows = [(None if k % 4 > 1 else 7, t, "en", "abc"[k // 4], 0) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    placed, takes = corpus_pipeline.mixture(docs)
+    aims = {r.source: round(r.target) for r in placed.select("source", "target").distinct().collect()}
+    got = corpus_pipeline.source_mixture(spark, docs, SF).collect()
+    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in "abc"}
+    assert words == aims
+    assert all(any(r.text in t for t in texts) for r in got)
