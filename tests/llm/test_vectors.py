@@ -81,3 +81,36 @@ def test_components(spark):
     nodes = {x for e in edges for x in e}
     expected = brute.roots(nodes, edges)
     assert {n: got.get(n, n) for n in nodes} == expected
+
+
+def recall(spark, x):
+    """Of all rows' 20 nearest, and the length of each list."""
+    got: dict = {}
+    for r in op03_neighbours.nearest(frame(spark, [(v, row.tolist()) for v, row in enumerate(x)]), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score, hits = x @ x.T, []
+    np.fill_diagonal(score, -np.inf)
+    for q in range(0, len(x), 20):
+        best = np.argsort(-score[q], kind="stable")[: min(20, len(x) - 1)]
+        assert len(got.get(q, ())) == len(best)
+        hits.append(len(got[q] & set(best.tolist())) / len(best))
+    return np.mean(hits)
+
+
+def unit(seed, n):
+    x = np.random.default_rng(seed).standard_normal((n, 64)).astype(np.float32).astype(float)
+    return (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("n", [15, 21])
+def test_few_vectors_are_all_found(spark, n):
+    assert recall(spark, unit(n, n)) == 1
+
+
+@pytest.mark.parametrize("times", [10, 1000])
+def test_recall_does_not_depend_on_the_longest_row(spark, times):
+    x = unit(5, 1200)
+    x[7] *= times
+    found = recall(spark, x)
+    print("recall", times, found)
+    assert found >= 0.95
