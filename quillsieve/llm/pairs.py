@@ -14,7 +14,7 @@ from quillsieve.llm.shared import materialize
 #: Rows of a group that one task compares with one another.
 BLOCK = 2048
 #: Bytes of whole groups that a task holds before it compares them (about).
-HELD_BYTES = 64 << 20
+HELD_BYTES = 8 << 20
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
