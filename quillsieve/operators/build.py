@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsieve.functions.hashing import compat_positions, sql_pair, sql_positions, with_compat_pair
@@ -18,23 +18,42 @@ from quillsieve.params import FilterConfig, Layer
 BUCKET_BITS = 32_768
 
 
-def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """df with `ordinal`, 0 for the first row in the order: a range sort, and offsets from its partitions' counts.
+def ordered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """(df with `ordinal`, 0 for the first row in the order; the number of rows).
 
-    The sorted rows are stored, so that counts and rows come from one sort. One count for each partition
-    goes to the driver.
+    A range sort, and offsets from its partitions' counts. The sorted rows are stored, so that counts and rows come
+    from one sort. One count for each partition goes to the driver, and their offsets back in a broadcast join.
     """
-    low = (1 << 33) - 1
+    spark = df.sparkSession
     ranged = stored(df.sort(*order).withColumn("__id", F.monotonically_increasing_id()))
-    place, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(low))
+    place, inside = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = {r.p: r.n for r in ranged.groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = {}, 0
+    offsets, total = [], 0
     for p in sorted(counts):
-        offsets[p], total = total, total + counts[p]
-    if not offsets:
-        return ranged.withColumn("ordinal", F.lit(0).cast("long")).drop("__id")
-    lookup = F.create_map(*(F.lit(x).cast("long") for pair in offsets.items() for x in pair))
-    return ranged.withColumn("ordinal", F.element_at(lookup, place) + inside).drop("__id")
+        offsets.append((p, total))
+        total += counts[p]
+    begins = F.broadcast(spark.createDataFrame(offsets, "__place long, __begin long"))
+    return ranged.withColumn("__place", place).join(begins, "__place").withColumn("ordinal", F.col("__begin") + inside).drop("__id", "__place", "__begin"), total
+
+
+def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
+    return ordered(df, *order)[0]
+
+
+def running_sum(rows: DataFrame, at: str, value: str, fan: int = 1000) -> DataFrame:
+    """rows with `total`, the sum of value up to each row in the order of the distinct numbers `at`.
+
+    Sums of `fan` numbers are summed in their turn, twice, so that no task gets more than `fan` rows, but for the last,
+    which gets one row for each fan * fan numbers.
+    """
+    before = lambda by, order: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__low", F.floor(F.col(at) / fan)).withColumn("__high", F.floor(F.col("__low") / fan))
+    low = rows.groupBy("__high", "__low").agg(F.sum(value).alias("__n"))
+    high = low.groupBy("__high").agg(F.sum("__n").alias("__n")).select("__high", before([], "__high").alias("__before_high"))
+    low = low.select("__high", "__low", before(["__high"], "__low").alias("__before_low"))
+    inside = F.sum(value).over(Window.partitionBy("__low").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("__inside", inside).join(low, ["__high", "__low"]).join(high, "__high")
+    return found.withColumn("total", F.col("__before_high") + F.col("__before_low") + F.col("__inside")).drop("__low", "__high", "__inside", "__before_low", "__before_high")
 
 
 def layer_of(ordinal: Column, plan: list[Layer]) -> Column:

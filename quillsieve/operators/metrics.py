@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.functions.hashing import sql_positions
-from quillsieve.operators.build import bit_rows, hashed, layer_counts
+from quillsieve.operators.build import bit_rows, hashed, layer_counts, running_sum
 from quillsieve.params import Layer
 
 
@@ -53,8 +53,8 @@ def saturation(items: DataFrame, item: str, plan: list[Layer]) -> DataFrame:
     """Every 100th insertion beyond a fixed filter's capacity at which its estimated rate exceeds the target.
 
     items: item and ordinal. A bit is set by the first ordinal that maps to it; a running count of such
-    first settings gives the bits set after each insertion, as replaying them in order would. The window
-    runs over one row for each 100 insertions.
+    first settings gives the bits set after each insertion, as replaying them in order would. The sum runs
+    over one row for each 100 insertions, in parts.
     """
     layer = plan[0]
     known = hashed(items.filter(F.col(item).isNotNull()).select(item, "ordinal"), item)
@@ -62,7 +62,8 @@ def saturation(items: DataFrame, item: str, plan: list[Layer]) -> DataFrame:
     step = F.floor(F.col("ordinal") / 100)
     news = first.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("new_bits"))
     counts = items.groupBy(step.alias("step")).agg((F.max("ordinal") + 1).alias("inserted"))
-    rows = counts.join(news, "step", "left").withColumn("set_bits", F.sum(F.coalesce("new_bits", F.lit(0))).over(Window.orderBy("step")))
+    steps = counts.join(news, "step", "left").withColumn("new_bits", F.coalesce("new_bits", F.lit(0).cast("long")))
+    rows = running_sum(steps, "step", "new_bits").withColumnRenamed("total", "set_bits")
     rate = F.pow(F.col("set_bits") / F.lit(layer.m), F.lit(layer.k))
     saturated = (F.col("inserted") > layer.capacity) & (F.col("inserted") % 100 == 0) & (rate > layer.fp_rate)
     return rows.select("inserted", F.col("set_bits").cast("long").alias("set_bits"), rate.alias("actual_fp"), saturated.alias("saturated"))

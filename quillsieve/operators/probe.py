@@ -83,6 +83,13 @@ def probe_local(items: DataFrame, item: str, packed: DataFrame, plan: list[Layer
     return pairs.mapInArrow(run, items.schema.add("present", "boolean"))
 
 
+def probe_by_size(items: DataFrame, item: str, packed: DataFrame, plan: list[Layer], config: FilterConfig) -> DataFrame:
+    """probe_local where the plan's packed size allows it, probe elsewhere; the answers are the same."""
+    if packed_size(plan, config.stripes) <= BROADCAST_BYTES:
+        return probe_local(items, item, packed, plan, config)
+    return probe(items, item, packed, plan, config.stripes)
+
+
 def _position(h1: np.ndarray, h2: np.ndarray, i: int, m: int, wrap: bool) -> np.ndarray:
     if wrap:
         return ((h1 + np.uint64(i) * h2) % np.uint64(m)).astype(np.int64)
@@ -92,6 +99,3 @@ def _position(h1: np.ndarray, h2: np.ndarray, i: int, m: int, wrap: bool) -> np.
 def prefiltered_join(left: DataFrame, right: DataFrame, key: str, packed: DataFrame, plan: list[Layer]) -> DataFrame:
     """left joined to right on key after a filter over right's keys drops most rows of left without a partner."""
     return probe_local(left, key, packed, plan).filter("present").drop("present").join(right, key)
-
-
-

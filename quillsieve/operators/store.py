@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import shutil
 import tempfile
 import uuid
 from dataclasses import asdict
@@ -14,11 +15,19 @@ from pyspark.sql import functions as F
 from quillsieve.params import Layer
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = named.rstrip("/") if named else f"file://{tempfile.mkdtemp(prefix='quillsieve-')}"
-    return f"{base}/quillsieve/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share; a session that runs locally may name none."""
+    app, named = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not named and app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="quillsieve-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    base = named.rstrip("/") if named else f"file://{_LOCAL[app]}"
+    return f"{base}/quillsieve/{app}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -94,16 +94,17 @@ def bf_hash_positions(spark, sf_dir):
 _PAGES = fixed(1000, 0.01)
 _PAGE_BITS = _bits("SELECT url AS item, 0 AS ordinal FROM pages", _PAGES, False)
 _CUSTOMERS = fixed(10_000, 0.05)
-_HALF = "SELECT c_custkey AS item, 0 AS ordinal FROM customer WHERE c_custkey <= (SELECT max(c_custkey) / 2 FROM customer)"
+_URGENT = "SELECT o_custkey AS item, 0 AS ordinal FROM orders WHERE o_orderpriority = '1-URGENT'"
 
 
 def _page_items(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("url")
 
 
-def _half_customers(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").select("c_custkey")
-    return c, c.filter(F.col("c_custkey") <= F.lit(c.agg(F.max("c_custkey")).first()[0] / 2))
+def _urgent_customers(spark, sf_dir):
+    """All customers, and a filter of those with an urgent order."""
+    urgent = _table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return _table(spark, sf_dir, "customer").select("c_custkey"), build.packed_bits(urgent, "o_custkey", _CUSTOMERS)
 
 
 @query("bf_build_bits", f"SELECT layer, bit FROM ({_PAGE_BITS})")
@@ -117,48 +118,49 @@ def bf_set_bits_fill_fp(spark, sf_dir):
     return m.select("set_bits", F.round("fill", 9).alias("fill"), F.round("actual_fp", 9).alias("actual_fp"))
 
 
-@query("bf_probe", f"SELECT item AS c_custkey, present FROM {_probe('SELECT c_custkey AS item FROM customer', _bits(_HALF, _CUSTOMERS, True), _CUSTOMERS, True)}")
+@query("bf_probe", f"SELECT item AS c_custkey, present FROM {_probe('SELECT c_custkey AS item FROM customer', _bits(_URGENT, _CUSTOMERS, True), _CUSTOMERS, True)}")
 def bf_probe(spark, sf_dir):
-    c, half = _half_customers(spark, sf_dir)
-    return probe.probe(c, "c_custkey", build.packed_bits(half, "c_custkey", _CUSTOMERS), _CUSTOMERS)
+    customers, packed = _urgent_customers(spark, sf_dir)
+    return probe.probe(customers, "c_custkey", packed, _CUSTOMERS)
 
 
 @query("bf_probe_local", ORACLES["bf_probe"])
 def bf_probe_local(spark, sf_dir):
-    c, half = _half_customers(spark, sf_dir)
-    return probe.probe_local(c, "c_custkey", build.packed_bits(half, "c_custkey", _CUSTOMERS), _CUSTOMERS)
+    customers, packed = _urgent_customers(spark, sf_dir)
+    return probe.probe_local(customers, "c_custkey", packed, _CUSTOMERS)
 
 
 _USERS = fixed(2000, 0.02)
-_EVEN = "SELECT user_id AS item, 0 AS ordinal FROM events WHERE user_id % 2 = 0"
+_BUYERS = "SELECT user_id AS item, 0 AS ordinal FROM events WHERE event_type = 'purchase' AND value > 200"
 
 
-@query("bf_probe_int", f"SELECT e.event_id, e.user_id, p.present FROM events e LEFT JOIN {_probe('SELECT user_id AS item FROM events', _bits(_EVEN, _USERS, True), _USERS, True)} p ON e.user_id = p.item")
+@query("bf_probe_int", f"SELECT e.event_id, e.user_id, p.present FROM events e LEFT JOIN {_probe('SELECT user_id AS item FROM events', _bits(_BUYERS, _USERS, True), _USERS, True)} p ON e.user_id = p.item")
 def bf_probe_int(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select("event_id", "user_id")
-    return probe.probe(e, "user_id", build.packed_bits(e.filter("user_id % 2 = 0"), "user_id", _USERS), _USERS)
+    e = _table(spark, sf_dir, "events")
+    packed = build.packed_bits(e.filter("event_type = 'purchase' AND value > 200").select("user_id"), "user_id", _USERS)
+    return probe.probe(e.select("event_id", "user_id"), "user_id", packed, _USERS)
 
 
-_PARTS = fixed(4000, 0.01)
+_NAMED = fixed(4000, 0.01)
 
 
-def _part_bits(rest: str) -> str:
-    return _bits(f"SELECT p_name AS item, 0 AS ordinal FROM part WHERE p_partkey % 2 = {rest}", _PARTS, False)
+def _name_bits(table: str, column: str) -> str:
+    return _bits(f"SELECT {column} AS item, 0 AS ordinal FROM {table}", _NAMED, False)
 
 
-def _part_halves(spark, sf_dir):
-    p = _table(spark, sf_dir, "part")
-    return [build.packed_bits(p.filter(F.col("p_partkey") % 2 == r).select("p_name"), "p_name", _PARTS) for r in (0, 1)]
+def _named(spark, sf_dir, table: str, column: str) -> DataFrame:
+    return build.packed_bits(_table(spark, sf_dir, table).select(column), column, _NAMED)
 
 
-@query("bf_union", f"SELECT layer, count(*) AS set_bits FROM (({_part_bits('0')}) UNION ({_part_bits('1')})) GROUP BY layer")
+@query("bf_union", f"SELECT layer, count(*) AS set_bits FROM (({_name_bits('part', 'p_name')}) UNION ({_name_bits('customer', 'c_name')})) GROUP BY layer")
 def bf_union(spark, sf_dir):
-    return metrics.layer_metrics(store.union_filters(*_part_halves(spark, sf_dir)), _PARTS).select("layer", "set_bits")
+    both = store.union_filters(_named(spark, sf_dir, "part", "p_name"), _named(spark, sf_dir, "customer", "c_name"))
+    return metrics.layer_metrics(both, _NAMED).select("layer", "set_bits")
 
 
-@query("bf_popcount", f"SELECT count(*) AS set_bits FROM ({_part_bits('0')})")
+@query("bf_popcount", f"SELECT count(*) AS set_bits FROM ({_name_bits('part', 'p_name')})")
 def bf_popcount(spark, sf_dir):
-    return metrics.popcount(_part_halves(spark, sf_dir)[0])
+    return metrics.popcount(_named(spark, sf_dir, "part", "p_name"))
 
 
 _SATURATED = fixed(300, 0.01)
@@ -198,16 +200,16 @@ def _plan_rows(config: FilterConfig) -> str:
 
 @query("sbf_layer_assignment", f"SELECT event_id, user_id, ordinal::BIGINT AS ordinal, layer FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM events) JOIN {_plan_rows(_EVENT_CONFIG)} ON ordinal >= lo AND ordinal < hi")
 def sbf_layer_assignment(spark, sf_dir):
-    items = build.with_ordinal(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
-    return items.withColumn("layer", build.layer_of(F.col("ordinal"), build.scalable_plan(items, _EVENT_CONFIG)))
+    items, n = build.ordered(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    return items.withColumn("layer", build.layer_of(F.col("ordinal"), _EVENT_CONFIG.plan(n)))
 
 
 _ORDER_ITEMS = "SELECT o_custkey AS item, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders"
 
 
 def _order_items(spark, sf_dir):
-    items = build.with_ordinal(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-    return items, build.scalable_plan(items, _ORDER_CONFIG)
+    items, n = build.ordered(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return items, _ORDER_CONFIG.plan(n)
 
 
 @query("sbf_layer_stats", f"""WITH items AS ({_ORDER_ITEMS}), counts AS (SELECT layer, m, k, count(*) AS n_items FROM items JOIN {_plan_rows(_ORDER_CONFIG)} ON ordinal >= lo AND ordinal < hi GROUP BY ALL),
@@ -233,7 +235,13 @@ def _sbf_probe(items: str) -> str:
 def sbf_probe(spark, sf_dir):
     items, plan = _order_items(spark, sf_dir)
     bits = build.packed_bits(items, "o_custkey", plan)
-    return probe.probe(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", bits, plan)
+    return probe.probe_by_size(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", bits, plan, _ORDER_CONFIG)
+
+
+@query("sbf_probe_relational", ORACLES["sbf_probe"])
+def sbf_probe_relational(spark, sf_dir):
+    items, plan = _order_items(spark, sf_dir)
+    return probe.probe(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", build.packed_bits(items, "o_custkey", plan), plan)
 
 
 _ABSENT = "SELECT c_custkey + 1000000 AS item FROM customer"
@@ -243,14 +251,14 @@ _ABSENT = "SELECT c_custkey + 1000000 AS item FROM customer"
 def sbf_false_negatives(spark, sf_dir):
     items, plan = _order_items(spark, sf_dir)
     keys = items.select("o_custkey").distinct()
-    found = probe.probe(keys, "o_custkey", build.packed_bits(items, "o_custkey", plan), plan)
+    found = probe.probe_by_size(keys, "o_custkey", build.packed_bits(items, "o_custkey", plan), plan, _ORDER_CONFIG)
     return metrics.false_negatives(keys, found, "o_custkey").agg(F.count(F.lit(1)).alias("false_negatives"))
 
 
 def _absent(spark, sf_dir):
     items, plan = _order_items(spark, sf_dir)
     absent = _table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1_000_000).alias("c_custkey"))
-    return metrics.empirical_rate(probe.probe(absent, "c_custkey", build.packed_bits(items, "o_custkey", plan), plan))
+    return metrics.empirical_rate(probe.probe_by_size(absent, "c_custkey", build.packed_bits(items, "o_custkey", plan), plan, _ORDER_CONFIG))
 
 
 @query("sbf_empirical_fpr", f"SELECT coalesce(sum(present::INT), 0)::BIGINT AS false_positives, count(*) AS probes, round(coalesce(avg(present::INT), 0), 9)::DOUBLE AS fpr FROM {_sbf_probe(_ABSENT)}")
@@ -268,8 +276,8 @@ _STRIPED_BITS = _bits(_PART_ITEMS, _longest(_STRIPED, 10), False, _STRIPED.strip
 
 
 def _striped(spark, sf_dir):
-    items = build.with_ordinal(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
-    return items, build.scalable_plan(items, _STRIPED)
+    items, n = build.ordered(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    return items, _STRIPED.plan(n)
 
 
 @query("striped_layout", f"SELECT layer, stripe, count(*) AS set_bits FROM ({_STRIPED_BITS}) GROUP BY layer, stripe")
@@ -502,12 +510,50 @@ def throughput(spark, sf_dir):
     return rated.select("architecture", "items", F.round("items_per_second", 4).alias("items_per_second"), F.round(stats.async_speedup(F.col("ins"), F.col("reads")), 6).alias("async_speedup"))
 
 
-_OUTPUTS = [(1, "[METRIC] Throughput: 1,234,567 items/second\n[METRIC] Throughput:  2,500,000 items/second\nSpeedup: 2.02x"), (2, "[METRIC] Throughput: 900 items/second"), (3, "nothing")]
+#: Outputs of runs: none, one or two reports of throughput, and a speedup where the asynchronous run took less time.
+_REPORTED = """(SELECT c_custkey AS run, concat_ws(chr(10), 'begin',
+    CASE WHEN c_custkey % 3 > 0 THEN '[METRIC] Throughput: ' || format('{:,}', c_custkey * 1237) || ' items/second' END,
+    CASE WHEN c_custkey % 3 > 1 THEN '[METRIC] Throughput:  ' || format('{:,}', c_custkey * 2741) || ' items/second' END,
+    CASE WHEN c_custkey % 2 > 0 THEN '[ANALYSIS] The Asynchronous implementation achieved a ' || format('{:.2f}', (100 + c_custkey % 400) / 100) || 'x speedup.' END, 'end') AS output FROM customer)"""
 
 
-@query("metric_scrape", "SELECT * FROM (VALUES (1, 1234567.0::DOUBLE, 2500000.0::DOUBLE, 2.02::DOUBLE), (2, 900.0, NULL, 1.0), (3, NULL, NULL, 1.0)) t(run, sequential, asynchronous, speedup)")
+@query("metric_scrape", f"""SELECT run, CASE WHEN len(rates) >= 2 THEN replace(rates[1], ',', '')::DOUBLE END AS sequential, CASE WHEN len(rates) >= 2 THEN replace(rates[2], ',', '')::DOUBLE END AS asynchronous,
+    coalesce(nullif(regexp_extract(output, 'achieved a ([0-9.]+)x speedup', 1), '')::DOUBLE, 1.0) AS speedup
+    FROM (SELECT run, output, regexp_extract_all(output, '\\[METRIC\\] Throughput:\\s+([0-9,]+)\\s+items/second', 1) AS rates FROM {_REPORTED})""")
 def metric_scrape(spark, sf_dir):
-    return spark.createDataFrame(_OUTPUTS, "run int, output string").select("run", *telemetry.scraped(F.col("output")))
+    c, key = _table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rate = lambda reports, gap, n: F.when(key % 3 > reports, F.concat(F.lit("[METRIC] Throughput:" + gap), F.format_number(key * n, 0), F.lit(" items/second")))
+    faster = F.when(key % 2 > 0, F.concat(F.lit("[ANALYSIS] The Asynchronous implementation achieved a "), F.format_string("%.2f", (key % 400 + 100) / 100), F.lit("x speedup.")))
+    output = F.concat_ws("\n", F.lit("begin"), rate(0, " ", 1237), rate(1, "  ", 2741), faster, F.lit("end"))
+    return c.select(key.alias("run"), output.alias("output")).select("run", *telemetry.scraped(F.col("output")))
+
+
+_TELEMETRY = "SELECT architecture, 'insert' AS phase, 'wall' AS clock, workers, 1000::BIGINT AS workload, run_idx, seconds"
+
+
+@query("telemetry_merge", f"{_TELEMETRY} FROM {_RUNS} WHERE workers <= 4 UNION ALL SELECT * REPLACE (seconds * 2 AS seconds) FROM ({_TELEMETRY} FROM {_RUNS}) WHERE workers > 4")
+def telemetry_merge(spark, sf_dir):
+    """Runs written as JSON and read again, those of more than four workers replaced by a second file's."""
+    columns = [f.name for f in telemetry.RUNS]
+    runs = _runs(spark, sf_dir).withColumns({"phase": F.lit("insert"), "clock": F.lit("wall"), "workload": F.lit(1000).cast("long")}).select(columns)
+    base = store.scratch(spark)
+    telemetry.write_runs(runs, f"{base}/first")
+    telemetry.write_runs(runs.filter("workers > 4").withColumn("seconds", F.col("seconds") * 2), f"{base}/second")
+    return telemetry.merge_runs(telemetry.read_runs(spark, f"{base}/first"), telemetry.read_runs(spark, f"{base}/second"))
+
+
+@query("gzip_lines", "SELECT trim(url) AS value FROM pages WHERE trim(url) <> ''")
+def gzip_lines(spark, sf_dir):
+    path = f"{store.scratch(spark)}/lines"
+    _table(spark, sf_dir, "pages").select("url").write.option("compression", "gzip").text(path)
+    return text.scan_lines(spark, path)
+
+
+@query("file_checksum", "SELECT sum(octet_length(encode(n_name)) + 1)::BIGINT AS length, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS sha256 FROM nation")
+def file_checksum(spark, sf_dir):
+    path = f"{store.scratch(spark)}/file"
+    _table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
+    return text.file_checksums(spark, f"{path}/*.txt").select("length", "sha256")
 
 
 # Streaming ------------------------------------------------------------------------------------------------------------
@@ -535,25 +581,51 @@ def stream_ingest_layers(spark, sf_dir):
     return ingestor.layers(ingestor.last).select("layer", "n_items", "capacity")
 
 
-@query("stream_aging")
+_STREAM_SIZES = "(SELECT (event_id * 4.0 / (max(event_id) OVER () + 1))::DOUBLE AS place FROM events)"
+
+
+def _aged(max_layers: int) -> str:
+    """The layers alive after the batches, by their sizes alone: fill, begin a layer, or end a batch, one at a time."""
+    return f"""WITH RECURSIVE sizes AS (SELECT floor(place)::INTEGER AS b, count(*) AS n FROM {_STREAM_SIZES} GROUP BY 1),
+    s(b, rest, layers, next_id) AS (
+        SELECT 0, (SELECT n FROM sizes WHERE b = 0), [{{'layer': 0, 'depth': 0, 'n_items': 0::BIGINT}}], 1
+        UNION ALL
+        SELECT CASE WHEN rest = 0 THEN b + 1 ELSE b END,
+            CASE WHEN rest = 0 THEN (SELECT n FROM sizes WHERE sizes.b = s.b + 1) ELSE rest - least(rest, {_STREAM.capacity} * (1 << layers[-1].depth) - layers[-1].n_items) END,
+            CASE WHEN rest = 0 THEN CASE WHEN len(layers) > {max_layers} THEN layers[2:] ELSE layers END
+                WHEN layers[-1].n_items >= {_STREAM.capacity} * (1 << layers[-1].depth) THEN list_append(layers, {{'layer': next_id, 'depth': len(layers)::INTEGER, 'n_items': 0::BIGINT}})
+                ELSE list_append(layers[:-2], {{'layer': layers[-1].layer, 'depth': layers[-1].depth, 'n_items': layers[-1].n_items + least(rest, {_STREAM.capacity} * (1 << layers[-1].depth) - layers[-1].n_items)}}) END,
+            CASE WHEN rest > 0 AND layers[-1].n_items >= {_STREAM.capacity} * (1 << layers[-1].depth) THEN next_id + 1 ELSE next_id END
+        FROM s WHERE rest IS NOT NULL)
+    SELECT x.layer, x.depth, hi - lo AS capacity, m, k, x.n_items FROM (SELECT unnest(layers) AS x FROM s WHERE rest IS NULL) JOIN {_values(_longest(_STREAM))} ON p.layer = x.depth"""
+
+
+@query("stream_aging", _aged(2))
 def stream_aging(spark, sf_dir):
     ingestor, _ = _streamed(spark, sf_dir, max_layers=2)
     return ingestor.layers(ingestor.last)
 
 
+@query("stream_batch_rows", f"SELECT floor(place)::BIGINT AS batch, count(*) AS n_rows FROM {_STREAM_SIZES} GROUP BY 1")
+def stream_batch_rows(spark, sf_dir):
+    _, q = _streamed(spark, sf_dir, max_layers=30)
+    return spark.createDataFrame([(s["batch"], s["rows"]) for s in ingest.batch_stats(q)], "batch long, n_rows long")
+
+
 @query("stream_batch_stats")
 def stream_batch_stats(spark, sf_dir):
+    """Timings of each batch: whole, and split into reading the source (io_ms) and inserting (cpu_ms)."""
     _, q = _streamed(spark, sf_dir, max_layers=30)
-    rows = [(s["batch"], s["rows"], float(s["seconds"]), float(s["items_per_second"])) for s in ingest.batch_stats(q)]
-    return spark.createDataFrame(rows, "batch long, rows long, seconds double, items_per_second double")
+    rows = [(s["batch"], s["rows"], float(s["seconds"]), float(s["items_per_second"]), *ingest.io_and_cpu(s["parts_ms"])) for s in ingest.batch_stats(q)]
+    return spark.createDataFrame(rows, "batch long, rows long, seconds double, items_per_second double, io_ms long, cpu_ms long")
 
 
 # The compat hash family: no other engine here computes it ---------------------------------------------------------------
 
 def _compat_items(spark, sf_dir):
-    items = build.with_ordinal(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    items, n = build.ordered(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
     config = FilterConfig(100, 0.01)
-    return items, config, build.scalable_plan(items, config)
+    return items, config, config.plan(n)
 
 
 @query("compat_bits")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillsieve.operators.build import packed_bits, with_ordinal
+from quillsieve.operators.build import ordered, packed_bits
 from quillsieve.operators.store import union_filters
 from quillsieve.params import FilterConfig, Layer
 
@@ -93,9 +93,8 @@ class Ingestor:
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         before = self._read_state(epoch - 1)
         batch = batch.select(*dict.fromkeys([self.item, self.order])).persist()  # sorting reads it twice, the source once
-        rows = with_ordinal(batch, self.order)
+        rows, n = ordered(batch, self.order)
         batch.unpersist()
-        n = rows.count()
         after, dealt = advance(before, n, self.config)
         after = aged(after, self.max_layers)
         bits = self._read_bits(epoch - 1)
@@ -133,6 +132,12 @@ def batch_stats(query: StreamingQuery) -> list[dict]:
     ]
 
 
+def io_and_cpu(parts_ms: dict[str, int]) -> tuple[int, int]:
+    """(ms of finding and planning what to read, ms of the batch's work) from a batch's parts."""
+    io = sum(v for k, v in parts_ms.items() if k in ("latestOffset", "getBatch", "queryPlanning", "walCommit", "commitOffsets"))
+    return io, parts_ms.get("addBatch", 0)
+
+
 def layers_after(spark: SparkSession, batches: list[int], config: FilterConfig, max_layers: int = 15) -> DataFrame:
     """What `layers` gives after batches of the given sizes, without running them: sizes alone decide."""
     state = State()
