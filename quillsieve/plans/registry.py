@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.functions.hashing import sql_pair, sql_positions
+from quillsieve.functions.hashing import sql_pair, sql_positions, with_compat_pair
 from quillsieve.functions.items import item_bytes
 from quillsieve.operators import build, metrics, probe, stats, store, telemetry
 from quillsieve.params import FilterConfig, Layer, bits_for, fixed
+from quillsieve.plans.murmur_sql import murmur3_128
 from quillsieve.sources import cdxj, generators, text
 from quillsieve.streaming import ingest
 
@@ -620,23 +621,40 @@ def stream_batch_stats(spark, sf_dir):
     return spark.createDataFrame(rows, "batch long, rows long, seconds double, items_per_second double, io_ms long, cpu_ms long")
 
 
-# The compat hash family: no other engine here computes it ---------------------------------------------------------------
+# The compat hash family -------------------------------------------------------------------------------------------------
+
+_COMPAT = FilterConfig(100, 0.01)
+_URLS = "SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS ordinal FROM pages"
+_COMPAT_BITS = f"""SELECT DISTINCT layer, 0 AS stripe, ((h1 + i * h2) % m::UHUGEINT)::BIGINT AS bit FROM (
+    SELECT p.layer, p.m, p.k, h1, h2, unnest(range(p.k))::UHUGEINT AS i FROM {murmur3_128('SELECT page_id AS id, url AS item FROM pages')} JOIN ({_URLS}) ON id = page_id JOIN {_values(_longest(_COMPAT, 12))} ON ordinal >= lo AND ordinal < hi)"""
+_ASKED = "(SELECT url AS item FROM pages UNION ALL SELECT url || '#absent' FROM pages)"
+
 
 def _compat_items(spark, sf_dir):
     items, n = build.ordered(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
-    config = FilterConfig(100, 0.01)
-    return items, config, config.plan(n)
+    return items, _COMPAT.plan(n)
+
+
+@query("compat_hash", f"SELECT page_id, h1::VARCHAR AS h1, h2::VARCHAR AS h2 FROM {murmur3_128('SELECT page_id AS id, url AS item FROM pages')} JOIN pages ON id = page_id")
+def compat_hash(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    unsigned = lambda c: F.when(F.col(c) < 0, F.col(c).cast("decimal(20)") + F.lit("18446744073709551616").cast("decimal(20)")).otherwise(F.col(c)).cast("decimal(20)").cast("string").alias(c)
+    return with_compat_pair(pages, item_bytes(pages, "url")).select("page_id", unsigned("h1"), unsigned("h2"))
 
 
-@query("compat_bits")
+@query("compat_bits", _COMPAT_BITS)
 def compat_bits(spark, sf_dir):
-    items, config, plan = _compat_items(spark, sf_dir)
-    return build.compat_bits(items, "url", plan, config)
+    items, plan = _compat_items(spark, sf_dir)
+    return build.compat_bits(items, "url", plan, _COMPAT)
 
 
-@query("compat_probe")
+@query("compat_probe", f"""WITH b AS ({_COMPAT_BITS}), d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item) AS id, item FROM (SELECT DISTINCT item FROM {_ASKED})),
+    q AS (SELECT DISTINCT id, layer, ((h1 + i * h2) % m::UHUGEINT)::BIGINT AS bit FROM (SELECT id, p.layer, p.m, h1, h2, unnest(range(p.k))::UHUGEINT AS i FROM {murmur3_128('SELECT * FROM d')} CROSS JOIN {_values(_longest(_COMPAT, 12))})),
+    h AS (SELECT id, q.layer, count(*) = count(b.bit) AS present FROM q LEFT JOIN b ON q.layer = b.layer AND q.bit = b.bit GROUP BY ALL),
+    f AS (SELECT item, bool_or(present) AS present FROM h JOIN d USING (id) GROUP BY item)
+    SELECT item, present FROM {_ASKED} JOIN f USING (item)""")
 def compat_probe(spark, sf_dir):
-    items, config, plan = _compat_items(spark, sf_dir)
-    packed = build.pack(build.compat_bits(items, "url", plan, config))
+    items, plan = _compat_items(spark, sf_dir)
+    packed = build.pack(build.compat_bits(items, "url", plan, _COMPAT))
     names = items.select(F.col("url").alias("item")).unionByName(items.select(F.concat("url", F.lit("#absent")).alias("item")))
-    return probe.probe_local(names, "item", packed, plan, config, family="compat")
+    return probe.probe_local(names, "item", packed, plan, _COMPAT, family="compat")
