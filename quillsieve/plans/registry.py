@@ -6,6 +6,7 @@ Sizes come from quillsieve.params and stand as literals in both, so that no engi
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -625,8 +626,23 @@ def stream_batch_stats(spark, sf_dir):
 
 _COMPAT = FilterConfig(100, 0.01)
 _URLS = "SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS ordinal FROM pages"
-_COMPAT_BITS = f"""SELECT DISTINCT layer, 0 AS stripe, ((h1 + i * h2) % m::UHUGEINT)::BIGINT AS bit FROM (
-    SELECT p.layer, p.m, p.k, h1, h2, unnest(range(p.k))::UHUGEINT AS i FROM {murmur3_128('SELECT page_id AS id, url AS item FROM pages')} JOIN ({_URLS}) ON id = page_id JOIN {_values(_longest(_COMPAT, 12))} ON ordinal >= lo AND ordinal < hi)"""
+
+
+def _compat_bits(items: str, plan: list[Layer]) -> str:
+    """items: SQL of rows (id, item, ordinal). Distinct (layer, stripe, bit)."""
+    return f"""SELECT DISTINCT layer, 0 AS stripe, ((h1 + i * h2) % m::UHUGEINT)::BIGINT AS bit FROM (
+    SELECT p.layer, p.m, p.k, h1, h2, unnest(range(p.k))::UHUGEINT AS i FROM {murmur3_128(f'SELECT id, item FROM ({items})')} JOIN (SELECT id, ordinal FROM ({items})) USING (id) JOIN {_values(plan)} ON ordinal >= lo AND ordinal < hi)"""
+
+
+def _compat_probe(bits: str, asked: str, plan: list[Layer]) -> str:
+    """asked: SQL of rows (item), distinct. Items with present."""
+    return f"""(WITH b AS ({bits}), d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item) AS id, item FROM ({asked})),
+    q AS (SELECT DISTINCT id, layer, ((h1 + i * h2) % m::UHUGEINT)::BIGINT AS bit FROM (SELECT id, p.layer, p.m, h1, h2, unnest(range(p.k))::UHUGEINT AS i FROM {murmur3_128('SELECT * FROM d')} CROSS JOIN {_values(plan)})),
+    h AS (SELECT id, q.layer, count(*) = count(b.bit) AS present FROM q LEFT JOIN b ON q.layer = b.layer AND q.bit = b.bit GROUP BY ALL)
+    SELECT item, bool_or(present) AS present FROM h JOIN d USING (id) GROUP BY item)"""
+
+
+_COMPAT_BITS = _compat_bits(f"SELECT page_id AS id, url AS item, ordinal FROM ({_URLS})", _longest(_COMPAT, 12))
 _ASKED = "(SELECT url AS item FROM pages UNION ALL SELECT url || '#absent' FROM pages)"
 
 
@@ -648,13 +664,53 @@ def compat_bits(spark, sf_dir):
     return build.compat_bits(items, "url", plan, _COMPAT)
 
 
-@query("compat_probe", f"""WITH b AS ({_COMPAT_BITS}), d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item) AS id, item FROM (SELECT DISTINCT item FROM {_ASKED})),
-    q AS (SELECT DISTINCT id, layer, ((h1 + i * h2) % m::UHUGEINT)::BIGINT AS bit FROM (SELECT id, p.layer, p.m, h1, h2, unnest(range(p.k))::UHUGEINT AS i FROM {murmur3_128('SELECT * FROM d')} CROSS JOIN {_values(_longest(_COMPAT, 12))})),
-    h AS (SELECT id, q.layer, count(*) = count(b.bit) AS present FROM q LEFT JOIN b ON q.layer = b.layer AND q.bit = b.bit GROUP BY ALL),
-    f AS (SELECT item, bool_or(present) AS present FROM h JOIN d USING (id) GROUP BY item)
-    SELECT item, present FROM {_ASKED} JOIN f USING (item)""")
+@query("compat_probe", f"SELECT item, present FROM {_ASKED} JOIN {_compat_probe(_COMPAT_BITS, f'SELECT DISTINCT item FROM {_ASKED}', _longest(_COMPAT, 12))} USING (item)")
 def compat_probe(spark, sf_dir):
     items, plan = _compat_items(spark, sf_dir)
     packed = build.pack(build.compat_bits(items, "url", plan, _COMPAT))
     names = items.select(F.col("url").alias("item")).unionByName(items.select(F.concat("url", F.lit("#absent")).alias("item")))
     return probe.probe_local(names, "item", packed, plan, _COMPAT, family="compat")
+
+
+#: The workloads of the reference's own tests (name, prefix, items, capacity, target rate).
+_FIXTURES = [("no_false_negatives", "item_pos_", 500, 1000, 0.01), ("false_positive_rate", "known_", 8000, 5000, 0.05), ("scaling", "scale_test_", 300, 100, 0.01)]
+
+
+def _generated(prefix: str, n: int) -> str:
+    return f"SELECT i AS id, '{prefix}' || i AS item, i AS ordinal FROM range({n}) t(i)"
+
+
+def _fixture_bits(prefix: str, n: int, capacity: int, rate: float) -> str:
+    return _compat_bits(_generated(prefix, n), FilterConfig(capacity, rate).plan(n))
+
+
+def _fixture(spark, prefix: str, n: int, capacity: int, rate: float):
+    items, config = generators.labelled(spark, prefix, n), FilterConfig(capacity, rate)
+    plan = config.plan(n)
+    return items, config, plan, build.compat_bits(items, "item", plan, config)
+
+
+@query("compat_fixture_layers", " UNION ALL ".join(f"(SELECT '{name}' AS fixture, layer, count(*) AS set_bits FROM ({_fixture_bits(*x)}) GROUP BY layer)" for name, *x in _FIXTURES))
+def compat_fixture_layers(spark, sf_dir):
+    """The bits set in each layer of the reference's test filters."""
+    found = [metrics.layer_metrics(bits, plan).select(F.lit(name).alias("fixture"), "layer", "set_bits") for name, *x in _FIXTURES for _, _, plan, bits in [_fixture(spark, *x)]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _fixture_counts(name: str, prefix: str, n: int, capacity: int, rate: float) -> str:
+    asked = f"SELECT '{prefix}' || i AS item FROM range({n}) t(i) UNION ALL SELECT 'unknown_' || i FROM range(5000) t(i)"
+    found = _compat_probe(_fixture_bits(prefix, n, capacity, rate), asked, FilterConfig(capacity, rate).plan(n))
+    return f"(SELECT '{name}' AS fixture, count_if(item NOT LIKE 'unknown%' AND NOT present)::BIGINT AS false_negatives, count_if(item LIKE 'unknown%' AND present)::BIGINT AS false_positives FROM {found})"
+
+
+@query("compat_fixture_probes", " UNION ALL ".join(_fixture_counts(*x) for x in _FIXTURES))
+def compat_fixture_probes(spark, sf_dir):
+    """Items of the reference's test filters found absent, and absent items found present."""
+    out = []
+    for name, *x in _FIXTURES:
+        items, config, plan, bits = _fixture(spark, *x)
+        asked = items.select("item", F.lit(False).alias("absent")).unionByName(generators.labelled(spark, "unknown_", 5000).select("item", F.lit(True).alias("absent")))
+        found = probe.probe_local(asked, "item", build.pack(bits), plan, config, family="compat")
+        count = lambda wrong: F.coalesce(F.sum(wrong.cast("long")), F.lit(0).cast("long"))
+        out.append(found.agg(count(~F.col("absent") & ~F.col("present")).alias("false_negatives"), count(F.col("absent") & F.col("present")).alias("false_positives")).select(F.lit(name).alias("fixture"), "*"))
+    return reduce(DataFrame.unionByName, out)
