@@ -1,10 +1,11 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillsieve.operators import telemetry
-from quillsieve.sources import cdxj, text
+from quillsieve.sources import cdxj, download, text
 
 LINES = [
     'com,example)/ 20240222000000 {"url":"http://example.com/","status":"200","mime":"text/html"}',
@@ -70,3 +71,29 @@ def test_telemetry(spark, tmp_path):
     newer = spark.createDataFrame([("b", "insert", "wall", 1, 10, 0, 3.0)], telemetry.RUNS)
     merged = telemetry.merge_runs(telemetry.read_runs(spark, str(tmp_path / "r")), newer)
     assert {r.architecture: r.seconds for r in merged.collect()} == {"a": 1.0, "b": 3.0}
+
+
+def test_fetch(spark, tmp_path):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    (tmp_path / "from").mkdir()
+    raw = gzip.compress(("\n".join(LINES) + "\n").encode() * 1000)
+    (tmp_path / "from/lines.gz").write_bytes(raw)
+    handler = type("Quiet", (SimpleHTTPRequestHandler,), {"log_message": lambda *a: None})
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(handler, directory=str(tmp_path / "from")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, right = f"http://127.0.0.1:{server.server_port}/lines.gz", hashlib.sha256(raw).hexdigest()
+    try:
+        with pytest.raises(ValueError, match="SHA-256"):
+            download.fetch(spark, url, f"{tmp_path}/to/lines.gz", "0" * 64)
+        assert not list((tmp_path / "to").glob("[!.]*"))
+        assert download.fetch(spark, url, f"{tmp_path}/to/lines.gz", right.upper())
+        assert not download.fetch(spark, url, f"{tmp_path}/to/lines.gz", right)
+        assert (tmp_path / "to/lines.gz").read_bytes() == raw
+        assert text.scan_lines(spark, f"{tmp_path}/to/lines.gz").count() == 7 * 1000
+        with pytest.raises(Exception, match="FileNotFound|404"):
+            download.fetch(spark, url + "x", f"{tmp_path}/to/none")
+    finally:
+        server.shutdown()
