@@ -1,4 +1,4 @@
-"""MurmurHash3 x64-128 as SQL (DuckDB), to check the vectorised one: built from numbers of 128 bits, a step at a time."""
+"""MurmurHash3 (x64-128 and x86-32) as SQL (DuckDB), to check the vectorised one: from wider numbers, a step at a time."""
 
 from __future__ import annotations
 
@@ -60,3 +60,38 @@ def murmur3_128(items: str, seed: int = 42) -> str:
     tail = _mixed_in("(SELECT * FROM blocks WHERE b = n // 16)", False)  # lanes of zeros change nothing
     ended = _then("id, xor(h1, n::UHUGEINT) AS h1, xor(h2, n::UHUGEINT) AS h2", tail)
     return f"(WITH RECURSIVE blocks AS (SELECT * FROM {begun} UNION ALL {step[1:-1]}) SELECT * FROM {_sums(_avalanche(_sums(ended)))})"
+
+
+# The multipliers of the 32-bit hash.
+_D1, _D2 = 0xCC9E2D51, 0x1B873593
+_G1, _G2 = 0x85EBCA6B, 0xC2B2AE35
+_LOW = "4294967295::UBIGINT"
+
+
+def _times32(x: str, factor: int) -> str:
+    return f"((({x})::UHUGEINT * {factor}::UHUGEINT & 4294967295::UHUGEINT)::UBIGINT)"
+
+
+def _turn32(column: str, bits: int) -> str:
+    return f"((({column} << {bits}) | ({column} >> {32 - bits})) & {_LOW})"
+
+
+def murmur3_32(items: str, seed: int = 0) -> str:
+    """items: SQL of rows (id, item), item text. A query of (id, route), the signed 32-bit hash."""
+    raw = _then("id, hex(encode(item)) AS hx, octet_length(encode(item)) AS n", f"({items})")
+    begun = _then(f"id, rpad(hx, ((n // 4 + 1) * 8)::INTEGER, '0') AS hx, n, 0::BIGINT AS b, {seed}::UBIGINT AS h", raw)
+    pairs = " || ".join(f"substr(hx, b * 8 + {2 * k + 1}, 2)" for k in range(3, -1, -1))
+
+    def mixed_in(source: str, whole: bool) -> str:
+        at = _then(f"id, hx, n, b, h, {_times32(f"('0x' || {pairs})::UBIGINT", _D1)} AS k", source)
+        at = _then(f"id, hx, n, b, h, {_turn32('k', 15)} AS k", at)
+        at = _then(f"id, hx, n, b, xor(h, {_times32('k', _D2)}) AS h", at)
+        return _then(f"id, hx, n, b, ({_times32(_turn32('h', 13), 5)} + {0xE6546B64}) & {_LOW} AS h", at) if whole else at
+
+    step = _then("id, hx, n, b + 1, h", mixed_in("(SELECT * FROM words WHERE b < n // 4)", True))
+    at = _then("id, xor(h, n::UBIGINT) AS h", mixed_in("(SELECT * FROM words WHERE b = n // 4)", False))
+    at = _then(f"id, {_times32('xor(h, h >> 16)', _G1)} AS h", at)
+    at = _then(f"id, {_times32('xor(h, h >> 13)', _G2)} AS h", at)
+    at = _then("id, xor(h, h >> 16)::BIGINT AS h", at)
+    ended = _then("id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS route", at)
+    return f"(WITH RECURSIVE words AS (SELECT * FROM {begun} UNION ALL {step[1:-1]}) SELECT * FROM {ended})"

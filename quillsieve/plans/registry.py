@@ -15,7 +15,7 @@ from quillsieve.functions.hashing import sql_pair, sql_positions, with_compat_pa
 from quillsieve.functions.items import item_bytes
 from quillsieve.operators import build, metrics, probe, stats, store, telemetry
 from quillsieve.params import FilterConfig, Layer, bits_for, fixed
-from quillsieve.plans.murmur_sql import murmur3_128
+from quillsieve.plans.murmur_sql import murmur3_32, murmur3_128
 from quillsieve.sources import cdxj, generators, text
 from quillsieve.streaming import ingest
 
@@ -714,3 +714,31 @@ def compat_fixture_probes(spark, sf_dir):
         count = lambda wrong: F.coalesce(F.sum(wrong.cast("long")), F.lit(0).cast("long"))
         out.append(found.agg(count(~F.col("absent") & ~F.col("present")).alias("false_negatives"), count(F.col("absent") & F.col("present")).alias("false_positives")).select(F.lit(name).alias("fixture"), "*"))
     return reduce(DataFrame.unionByName, out)
+
+
+_COMPAT_STRIPED = FilterConfig(100, 0.01, tightening=None, stripes=4)
+
+
+def _compat_striped(stripe: str) -> str:
+    """The bits set in each stripe; stripe: SQL of an item's stripe by h1 and route."""
+    items = "SELECT page_id AS id, url AS item FROM pages"
+    return f"""SELECT layer, stripe, count(*) AS set_bits FROM (SELECT DISTINCT layer, ({stripe})::INTEGER AS stripe, (h1 + i * h2) % m::UHUGEINT AS bit FROM (
+    SELECT p.layer, p.m, h1, h2, route, unnest(range(p.k))::UHUGEINT AS i FROM {murmur3_128(items)} JOIN {murmur3_32(items)} USING (id) JOIN ({_URLS}) ON id = page_id JOIN {_values(_longest(_COMPAT_STRIPED, 12))} ON ordinal >= lo AND ordinal < hi)) GROUP BY layer, stripe"""
+
+
+def _compat_stripes(spark, sf_dir, scheme: str) -> DataFrame:
+    items, n = build.ordered(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    bits = build.compat_bits(items, "url", _COMPAT_STRIPED.plan(n), _COMPAT_STRIPED, scheme)
+    return bits.groupBy("layer", "stripe").agg(F.count(F.lit(1)).alias("set_bits"))
+
+
+@query("compat_striped_h1", _compat_striped(f"h1 % 2147483647::UHUGEINT % {_COMPAT_STRIPED.stripes}::UHUGEINT"))
+def compat_striped_h1(spark, sf_dir):
+    """Stripes by the first 64 bits of the item's hash."""
+    return _compat_stripes(spark, sf_dir, "h1")
+
+
+@query("compat_striped_hash32", _compat_striped(f"(route % {_COMPAT_STRIPED.stripes} + {_COMPAT_STRIPED.stripes}) % {_COMPAT_STRIPED.stripes}"))
+def compat_striped_hash32(spark, sf_dir):
+    """Stripes by the 32-bit hash, with the floor modulus of its sign."""
+    return _compat_stripes(spark, sf_dir, "hash32")
