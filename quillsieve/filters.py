@@ -52,8 +52,7 @@ class _Filter:
         """Insert a batch, in the order of `order` (a list's own order). Repeats count; nulls are no items; an empty batch
         changes nothing."""
         rows, item, order = self._rows(items, item, order)
-        rows = build.with_ordinal(rows.select(*dict.fromkeys([item, order])).filter(F.col(item).isNotNull()), order)
-        n = rows.count()
+        rows, n = build.ordered(rows.select(*dict.fromkeys([item, order])).filter(F.col(item).isNotNull()), order)
         if not n:
             return self
         plan = self.plan(self.inserted + n)
@@ -72,11 +71,7 @@ class _Filter:
         """A DataFrame with `present`; for a list, a list in its order."""
         rows, column, _ = self._rows(items, item, None)
         plan = self.plan()
-        stripes = self.config.stripes if self.config else 1
-        if self.family == "sql" and probe.packed_size(plan, stripes) > probe.BROADCAST_BYTES:
-            found = probe.probe(rows, column, self.packed, plan, stripes)
-        else:
-            found = probe.probe_local(rows, column, self.packed, plan, self.config, self.family)
+        found = probe.probe_by_size(rows, column, self.packed, plan, self.config, self.family)
         if isinstance(items, DataFrame):
             return found
         return [r.present for r in found.orderBy("ordinal").collect()]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.functions.hashing import sql_positions, with_compat_pair
+from quillsieve.functions.hashing import compat_positions, sql_positions, with_compat_pair
 from quillsieve.functions.items import item_bytes
 from quillsieve.operators.build import BUCKET_BITS, _stripes, hashed, pack
 from quillsieve.params import FilterConfig, Layer
@@ -20,7 +20,29 @@ def packed_size(plan: list[Layer], stripes: int = 1) -> int:
     return sum(-(-x.m // BUCKET_BITS) * (BUCKET_BITS // 8) * stripes for x in plan)
 
 
-def probe(items: DataFrame, item: str, bits: DataFrame, plan: list[Layer], stripes: int = 1) -> DataFrame:
+def _compat_asked(known: DataFrame, item: str, plan: list[Layer], config: FilterConfig | None, scheme: str) -> DataFrame:
+    """(item, stripe, layer, wanted, bit): each layer's distinct positions of distinct items, by the compat family."""
+    stripes, wrap = (config.stripes, config.wrap64) if config else (1, False)
+    pairs = with_compat_pair(known, item_bytes(known, item), route=scheme == "hash32")
+    schema = known.schema
+    for name, kind in (("stripe", "integer"), ("layer", "integer"), ("wanted", "integer"), ("bit", "long")):
+        schema = schema.add(name, kind)
+
+    def run(batches):
+        for batch in batches:
+            h1, h2 = (batch.column(c).to_numpy().view(np.uint64) for c in (1, 2))
+            stripe = _stripes(h1, batch.column(3).to_numpy() if scheme == "hash32" else None, stripes).astype(np.int32)
+            for x in plan:
+                bits = np.sort(compat_positions(h1, h2, x.k, x.m, wrap).astype(np.int64), axis=1)
+                new = np.concatenate([np.ones((len(bits), 1), dtype=bool), bits[:, 1:] != bits[:, :-1]], axis=1)
+                row, place = np.nonzero(new)
+                columns = [batch.column(0).take(pa.array(row)), stripe[row], np.full(len(row), x.layer, dtype=np.int32), new.sum(axis=1).astype(np.int32)[row], bits[row, place]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.names)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def probe(items: DataFrame, item: str, bits: DataFrame, plan: list[Layer], stripes: int = 1, family: str = "sql", config: FilterConfig | None = None, scheme: str = "h1") -> DataFrame:
     """items with `present`: some layer has all bits of the item set; null for a null item.
 
     bits: (layer, stripe, bit) rows or packed buckets. Distinct items are hashed once; each layer's distinct
@@ -29,9 +51,13 @@ def probe(items: DataFrame, item: str, bits: DataFrame, plan: list[Layer], strip
     packed = bits if "bitmap" in bits.columns else pack(bits)
     if packed_size(plan, stripes) <= BROADCAST_BYTES:
         packed = F.broadcast(packed)
-    known = hashed(items.select(item).filter(F.col(item).isNotNull()).distinct(), item, stripes)
-    layers = F.array(*(F.struct(F.lit(x.layer).alias("layer"), F.array_distinct(sql_positions(F.col("h1"), F.col("h2"), x.k, x.m)).alias("bits")) for x in plan))
-    asked = known.select(item, "stripe", F.explode(layers).alias("l")).select(item, "stripe", F.col("l.layer").alias("layer"), F.size("l.bits").alias("wanted"), F.explode("l.bits").alias("bit"))
+    known = items.select(item).filter(F.col(item).isNotNull()).distinct()
+    if family == "compat":
+        asked = _compat_asked(known, item, plan, config, scheme)
+    else:
+        layers = F.array(*(F.struct(F.lit(x.layer).alias("layer"), F.array_distinct(sql_positions(F.col("h1"), F.col("h2"), x.k, x.m)).alias("bits")) for x in plan))
+        asked = hashed(known, item, stripes).select(item, "stripe", F.explode(layers).alias("l"))
+        asked = asked.select(item, "stripe", F.col("l.layer").alias("layer"), F.size("l.bits").alias("wanted"), F.explode("l.bits").alias("bit"))
     asked = asked.withColumn("bucket", F.bitmap_bucket_number(F.col("bit") + 1)).withColumn("at", F.bitmap_bit_position(F.col("bit") + 1))
     byte = F.conv(F.hex(F.substring("bitmap", 1 + F.shiftright("at", 3), F.lit(1))), 16, 10).cast("int")
     hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("at", F.lit(8)))), F.lit(2)) == 1
@@ -83,11 +109,12 @@ def probe_local(items: DataFrame, item: str, packed: DataFrame, plan: list[Layer
     return pairs.mapInArrow(run, items.schema.add("present", "boolean"))
 
 
-def probe_by_size(items: DataFrame, item: str, packed: DataFrame, plan: list[Layer], config: FilterConfig) -> DataFrame:
+def probe_by_size(items: DataFrame, item: str, packed: DataFrame, plan: list[Layer], config: FilterConfig | None, family: str = "sql", scheme: str = "h1") -> DataFrame:
     """probe_local where the plan's packed size allows it, probe elsewhere; the answers are the same."""
-    if packed_size(plan, config.stripes) <= BROADCAST_BYTES:
-        return probe_local(items, item, packed, plan, config)
-    return probe(items, item, packed, plan, config.stripes)
+    stripes = config.stripes if config else 1
+    if packed_size(plan, stripes) <= BROADCAST_BYTES:
+        return probe_local(items, item, packed, plan, config, family, scheme)
+    return probe(items, item, packed, plan, stripes, family, config, scheme)
 
 
 def _position(h1: np.ndarray, h2: np.ndarray, i: int, m: int, wrap: bool) -> np.ndarray:

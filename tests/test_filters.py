@@ -146,3 +146,17 @@ def test_prefiltered_join(spark):
 def test_large_filters_are_not_broadcast(spark):
     with pytest.raises(ValueError):
         probe.probe_local(labelled(spark, "a", 1), "item", spark.createDataFrame([], "layer int, stripe int, bucket long, bitmap binary"), fixed(10**9, 0.001))
+
+
+@pytest.mark.parametrize("scheme, stripes", [("h1", 1), ("h1", 3), ("hash32", 3)])
+def test_both_probes_agree_on_compat_filters(spark, monkeypatch, scheme, stripes):
+    config = FilterConfig(60, 0.05, stripes=stripes)
+    items = labelled(spark, "in_", 300)
+    plan = config.plan(300)
+    packed = build.pack(build.compat_bits(items, "item", plan, config, scheme))
+    asked = items.select("item").unionByName(labelled(spark, "out_", 300).select("item")).unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS item"))
+    local = probe.probe_by_size(asked, "item", packed, plan, config, "compat", scheme).collect()
+    monkeypatch.setattr(probe, "BROADCAST_BYTES", 0)
+    joined = probe.probe_by_size(asked, "item", packed, plan, config, "compat", scheme).collect()
+    assert {r.item: r.present for r in local} == {r.item: r.present for r in joined}
+    assert len(joined) == 601 and all(r.present for r in joined if r.item and r.item.startswith("in_"))
