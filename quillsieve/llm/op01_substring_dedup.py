@@ -21,18 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm.automaton import SuffixAutomaton
-from quillsieve.llm.phrases import by_document, covered, in_shards, occurrences, repeats, shard_rows, word_tokens
-from quillsieve.llm.shared import materialize
+from quillsieve.llm.phrases import by_document, covered, in_shards, repeats, shard_rows, word_tokens
+from quillsieve.llm.shared import even_join, materialize
 
 GRAM = 5
 #: Payload bytes of the phrases in a reference shard: about 20,000 words.
 SHARD_BYTES = 160_000
 
 
-def _payload(tokens: np.ndarray, data: np.ndarray, first: int, n: int) -> bytes:
-    return tokens[first : first + n].tobytes()
-
-
 def solve(shard: list[tuple], width: int) -> list[tuple[int, int, int]]:
     """Windows of the shard's phrases whose words start earlier in some phrase of the shard."""
     rank = {d: k for k, d in enumerate(sorted({row[1] for row in shard}))}
@@ -60,13 +56,14 @@ def solve(shard: list[tuple], width: int) -> list[tuple[int, int, int]]:
 
 def repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
     """(doc_id, pos, n): n consecutive windows from word pos that all start earlier somewhere."""
-    found = repeats(occurrences(docs, word_tokens, width, min(GRAM, width)))
+    found = repeats(docs, word_tokens, width, min(GRAM, width))
     whole = found.marked().filter("not is_first").select("doc_id", "pos", "n")
-    rows = materialize(shard_rows(docs, found.dictionary, word_tokens, width, _payload))
+    rows = materialize(shard_rows(docs, found.dictionary, word_tokens, width))
     parts = in_shards(rows, lambda shard: solve(shard, width), SHARD_BYTES)
     windows = rows.filter("hot").select("trigger", "content", "doc_id", "pos")
-    least = materialize(windows.groupBy("trigger", "content").agg(F.min(F.struct("doc_id", "pos")).alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("trigger", "content", F.col("least.doc_id").alias("d"), F.col("least.pos").alias("p")))
-    hot = windows.join(least, ["trigger", "content"]).filter("doc_id <> d or pos <> p").select("doc_id", "pos", F.lit(1).alias("n"))
+    least = windows.groupBy("trigger", "content").agg(F.min(F.struct("doc_id", "pos")).alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    least = materialize(least.select("trigger", "content", "c", F.col("least.doc_id").alias("d"), F.col("least.pos").alias("p")))
+    hot = even_join(windows, least, ["trigger", "content"], "c", ["doc_id", "pos"]).filter("doc_id <> d or pos <> p").select("doc_id", "pos", F.lit(1).alias("n"))
     return whole.unionByName(parts).unionByName(hot)
 
 

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.phrases import by_document, byte_tokens, covered, in_shards, occurrences, repeats, runs, shard_rows, word_bounds, word_tokens
-from quillsieve.llm.shared import materialize
+from quillsieve.llm.phrases import by_document, byte_tokens, covered, in_shards, repeats, runs, shard_rows, word_bounds, word_tokens
+from quillsieve.llm.shared import even_join, materialize
 from quillsieve.llm.textstats import buffer_of
 
 #: Bytes, or words, of a trigger.
@@ -28,14 +28,6 @@ GRAM, WORD_GRAM = 160, 20
 SHARD_BYTES = 400_000
 
 
-def _payload(tokens: np.ndarray, data: np.ndarray, first: int, n: int) -> bytes:
-    return data[first : first + n].tobytes()
-
-
-def _word_payload(tokens: np.ndarray, data: np.ndarray, first: int, n: int) -> bytes:
-    return tokens[first : first + n].tobytes()
-
-
 def _dense(keys: np.ndarray) -> np.ndarray:
     """Ranks of keys among the distinct ones."""
     order = np.argsort(keys)
@@ -94,22 +86,41 @@ def solve(shard: list[tuple], width: int, token: type = np.uint8) -> list[tuple[
 
 def repeated_strings(docs: DataFrame, width: int = 400, words: bool = False) -> DataFrame:
     """(doc_id, pos, n): n consecutive strings of `width` bytes (or words) from pos that occur elsewhere too."""
-    tokens, gram, payload, token = (word_tokens, WORD_GRAM, _word_payload, np.uint64) if words else (byte_tokens, GRAM, _payload, np.uint8)
-    found = repeats(occurrences(docs, tokens, width, min(gram, max(1, width // 2))))
+    tokens, gram, token = (word_tokens, WORD_GRAM, np.uint64) if words else (byte_tokens, GRAM, np.uint8)
+    found = repeats(docs, tokens, width, min(gram, max(1, width // 2)))
     whole = found.marked().filter("times > 1").select("doc_id", "pos", "n")
-    rows = materialize(shard_rows(docs, found.dictionary, tokens, width, payload))
+    rows = materialize(shard_rows(docs, found.dictionary, tokens, width))
     parts = in_shards(rows, lambda shard: solve(shard, width, token), SHARD_BYTES)
     windows = rows.filter("hot").select("trigger", "content", "doc_id", "pos", "times")
-    several = materialize(windows.groupBy("trigger", "content").agg(F.sum("times").alias("total")).filter("total > 1").select("trigger", "content"))
-    hot = windows.filter("times = 1").join(several, ["trigger", "content"]).select("doc_id", "pos", F.lit(1).alias("n"))
+    several = materialize(windows.groupBy("trigger", "content").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("c")).filter("total > 1").select("trigger", "content", "c"))
+    hot = even_join(windows.filter("times = 1"), several, ["trigger", "content"], "c", ["doc_id", "pos"]).select("doc_id", "pos", F.lit(1).alias("n"))
     return whole.unionByName(parts).unionByName(hot)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, whole_characters: bool = False, keep: list[str] | None = None, words: bool = False) -> DataFrame:
+def _cut_text(text: bytes, found: list[dict], width: int, whole_characters: bool, words: bool) -> tuple[int, bytes]:
+    """(spans removed, what is left of a text)."""
+    if words:
+        starts, ends = word_bounds(*buffer_of(pa.array([text], type=pa.binary())))
+        first, end = runs(covered(found, width, len(starts)))
+        first, end = starts[first], ends[end - 1]
+    else:
+        first, end = runs(covered(found, width, len(text)))
+    if whole_characters and not words:
+        inner = (np.frombuffer(text + b" ", dtype=np.uint8) & 0xC0) == 0x80
+        for k in range(len(first)):
+            while inner[first[k]]:
+                first[k] += 1
+            while inner[end[k]]:
+                end[k] -= 1
+    return len(first), b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(text)], strict=True))
+
+
+def suffix_dedup(docs: DataFrame, width: int = 400, whole_characters: bool = False, keep: list[str] | None = None, words: bool = False, passages: int | None = None) -> DataFrame:
     """The kept columns (doc_id by default), n_bytes, n_removed, n_spans and kept: the bytes left.
 
     whole_characters: a span shrinks to the UTF-8 characters that lie in it whole, so that kept is valid text.
     words: strings of `width` words, whatever white space is between them; a span goes from its first word to its last.
+    passages: adds n_passage_words, the words covered by strings of so many words that occur elsewhere too; they stay.
     """
     keep = keep or ["doc_id"]
 
@@ -119,34 +130,25 @@ def suffix_dedup(docs: DataFrame, width: int = 400, whole_characters: bool = Fal
             for at in range(0, batch.num_rows, 500):
                 rows = []
                 for text, found in zip(texts.slice(at, 500).to_pylist(), lists.slice(at, 500).to_pylist(), strict=True):
-                    text = text or b""
-                    if not found:
-                        rows.append((len(text), 0, 0, text))
-                        continue
-                    if words:
-                        starts, ends = word_bounds(*buffer_of(pa.array([text], type=pa.binary())))
-                        first, end = runs(covered(found, width, len(starts)))
-                        first, end = starts[first], ends[end - 1]
-                    else:
-                        first, end = runs(covered(found, width, len(text)))
-                    if whole_characters and not words:
-                        inner = (np.frombuffer(text + b" ", dtype=np.uint8) & 0xC0) == 0x80
-                        for k in range(len(first)):
-                            while inner[first[k]]:
-                                first[k] += 1
-                            while inner[end[k]]:
-                                end[k] -= 1
-                    kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(text)], strict=True))
-                    rows.append((len(text), len(text) - len(kept), len(first), kept))
+                    text, by_kind = text or b"", ([], [])
+                    for r in found or ():
+                        by_kind[r["passage"]].append(r)
+                    spans, kept = _cut_text(text, by_kind[0], width, whole_characters, words) if by_kind[0] else (0, text)
+                    row = (len(text), len(text) - len(kept), spans, kept)
+                    rows.append(row if passages is None else (*row, int(covered(by_kind[1], passages, len(text.split())).sum()) if by_kind[1] else 0))
                 columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 own = [batch.column(k).slice(at, 500) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))], names=names)
 
     plain = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
-    spans = repeated_strings(docs, width, words)
-    joined = by_document(plain, spans, ["pos", "n"], "left")
+    spans = repeated_strings(docs, width, words).withColumn("passage", F.lit(0))
+    if passages is not None:
+        spans = spans.unionByName(repeated_strings(docs, passages, words=True).withColumn("passage", F.lit(1)))
+    joined = by_document(plain, spans, ["pos", "n", "passage"], "left")
+    added = [("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()), ("kept", "binary", pa.binary())]
+    added += [("n_passage_words", "long", pa.int64())] if passages is not None else []
     schema = plain.drop("__text").schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+    for name, kind, _ in added:
         schema = schema.add(name, kind)
+    names, types = schema.names, [t for _, _, t in added]
     return joined.mapInArrow(run, schema)

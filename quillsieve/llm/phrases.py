@@ -4,8 +4,9 @@ A rolling hash is taken over every `gram` tokens. The gram of least hash in a wi
 window's trigger; a phrase is a longest run of windows with the same trigger, so neighbouring
 phrases overlap by width - 1 tokens. Equal windows have triggers of equal content at equal places,
 so they lie in phrases of the same trigger, whatever surrounds them. A phrase occurrence is
-(trigger, content, doc_id, pos, n): 64-bit hashes of the trigger and of all tokens, the first
-token, and the number of windows.
+(trigger, content, doc_id, pos, n): the trigger's rolling hash, XXH3 of all its tokens, the first
+token, and the number of windows. The rolling hash, which some regular texts can clash in, only
+brings phrases together; what is taken to be equal has equal XXH3, over bytes or over 64-bit hashes of words.
 
 `repeats` finds, in aggregates and joins on these rows alone, the phrases that can hold repeated
 windows: occurrences of one phrase repeat as a whole, and only distinct phrases of one trigger need
@@ -19,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.shared import materialize
+from quillsieve.llm.shared import even_join, materialize, small_batches
 from quillsieve.llm.textstats import SPACE, blocks, buffer_of, word_starts
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -30,7 +32,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Positions in a block are packed into this many low bits of a hash.
 _PLACE_BITS = 23
 #: Longest stretch of tokens handled at once; longer documents are cut into stretches that overlap by a window.
-STRETCH = 1 << 21
+STRETCH = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,7 +51,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.ui
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 18)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
@@ -58,16 +60,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any stretch of a token array, from prefix sums."""
+    """Hashes of every `n` tokens of an array, from prefix sums."""
 
     def __init__(self, tokens: np.ndarray) -> None:
         up, self.down = _powers(len(tokens))
         self.sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
         np.cumsum(tokens * up[: len(tokens)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
     def grams(self, n: int) -> np.ndarray:
         m = len(self.sums) - n
         if m <= 0:
@@ -75,17 +74,61 @@ class Rolling:
         return mix((self.sums[n:] - self.sums[:m]) * self.down[:m])
 
 
-def byte_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Tokens:
+    """The tokens of a block of documents: bytes, or 64-bit hashes of words; offsets[k] is where document k begins."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+        self.raw, self.offsets = raw, offsets
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def hashes(self) -> np.ndarray:
+        return self.raw if self.raw.dtype == np.uint64 else _BYTES[self.raw]
+
+    def part(self, start: int, end: int) -> Tokens:
+        """One stretch of a document, as a document."""
+        own = self.raw[start:end]
+        return Tokens(own, np.array([0, len(own)]))
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """XXH3 of the tokens of each stretch: what is equal there is taken to be equal."""
+        n, raw = self.raw.itemsize, memoryview(np.ascontiguousarray(self.raw)).cast("B") if len(self.raw) else memoryview(b"")
+        return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((starts * n).tolist(), (ends * n).tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+
+
+def byte_tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     """Tokens are bytes."""
-    return _BYTES[data], offsets
+    return Tokens(data, offsets)
+
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word: 8 bytes after the other are mixed in; XXH64 of long words."""
+    size = ends - starts
+    lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate([data, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+    found = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rows, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(rows):
+        lane, left = lanes[starts[rows] + at], np.minimum(size[rows] - at, 8).astype(np.uint64)
+        lane &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+        found[rows] = mix(found[rows] ^ lane)
+        at += 8
+        rows = rows[size[rows] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        found[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return found
 
-def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens are hashes of the words [^\\x20\\x09-\\x0D]+."""
+
+def word_tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    """Tokens are 64-bit hashes of the words [^\\x20\\x09-\\x0D]+."""
     starts, ends = word_bounds(data, offsets)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    return Rolling(_BYTES[data]).of(starts, ends), np.searchsorted(starts, offsets)
+        return Tokens(np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64))
+    return Tokens(word_hashes(data, starts, ends), np.searchsorted(starts, offsets))
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +140,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends[np.searchsorted(ends, starts, side="right")]
 
 
-def cut(tokens: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first token, windows, trigger, content) of each phrase of a block of documents."""
-    n = len(tokens)
+def cut(tokens: Tokens, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(document, first token, windows, trigger) of each phrase of a block of documents."""
+    n, offsets = len(tokens), tokens.offsets
     empty = np.zeros(0, dtype=np.int64)
     if n < width:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    roll = Rolling(tokens)
-    grams = roll.grams(gram)
+        return empty, empty, empty, empty.astype(np.uint64)
+    grams = Rolling(tokens.hashes()).grams(gram)
     places = np.uint64((1 << _PLACE_BITS) - 1)
     least = (grams & ~places) | np.arange(len(grams), dtype=np.uint64)
     span, have = width - gram + 1, 1
@@ -117,27 +159,29 @@ def cut(tokens: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple
     doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: n - width + 1]
     at = np.flatnonzero(np.arange(n - width + 1) + width <= offsets[1:][doc_of])
     if not len(at):
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64)
     trigger = least[at]
     new = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (at[1:] != at[:-1] + 1)]))
     first = at[new]
     count = np.diff(np.concatenate([new, [len(at)]]))
-    doc = doc_of[first]
-    return doc, first - offsets[:-1][doc], count, mix(grams[trigger[new].astype(np.int64)]), roll.of(first, first + count + width - 1)
+    return doc_of[first], first - offsets[:-1][doc_of[first]], count, mix(grams[trigger[new].astype(np.int64)])
 
 
-def stretches(texts: pa.Array, to_tokens: Callable, width: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, position of the first token, tokens, offsets): blocks of rows; a long document in parts."""
+def stretches(texts: pa.Array, to_tokens: Callable, width: int, limit: int = STRETCH) -> Iterator[tuple[int, int, Tokens]]:
+    """(first row, position of the first token, tokens): blocks of rows; a long document in parts."""
     for row, n in blocks(texts, limit):
-        tokens, offsets = to_tokens(*buffer_of(texts.slice(row, n)))
+        tokens = to_tokens(*buffer_of(texts.slice(row, n)))
         if len(tokens) <= STRETCH:
-            yield row, 0, tokens, offsets
+            yield row, 0, tokens
             continue
-        for k in range(len(offsets) - 1):
-            own = tokens[offsets[k] : offsets[k + 1]]
-            for start in range(0, max(1, len(own) - width + 1), STRETCH):
-                part = own[start : start + STRETCH + width - 1]
-                yield row + k, start, part, np.array([0, len(part)])
+        for k, (begin, end) in enumerate(zip(tokens.offsets[:-1].tolist(), tokens.offsets[1:].tolist(), strict=True)):
+            for start in range(0, max(1, end - begin - width + 1), STRETCH):
+                yield row + k, start, tokens.part(begin + start, min(end, begin + start + STRETCH + width - 1))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 OCCURRENCE = "trigger long, content long, doc_id long, pos long, n int"
@@ -149,16 +193,29 @@ def occurrences(docs: DataFrame, to_tokens: Callable, width: int, gram: int) ->
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, begin, tokens, offsets in stretches(batch.column(1), to_tokens, width):
-                doc, first, count, trigger, content = cut(tokens, offsets, width, gram)
+            for row, begin, tokens in stretches(batch.column(1), to_tokens, width):
+                doc, first, count, trigger = cut(tokens, width, gram)
                 if len(doc):
+                    start = first + tokens.offsets[:-1][doc]
+                    content = tokens.digests(start, start + count + width - 1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(trigger.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[row + doc]), pa.array(first + begin), pa.array(count.astype(np.int32))],
                         names=["trigger", "content", "doc_id", "pos", "n"],
                     )
 
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, OCCURRENCE)
+    return _texts(docs).mapInArrow(run, OCCURRENCE)
+
+
+def trigger_counts(docs: DataFrame, to_tokens: Callable, width: int, gram: int) -> DataFrame:
+    """(trigger, hot): how many phrases each trigger begins in a block of documents."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, tokens in stretches(batch.column(1), to_tokens, width):
+                trigger, counts = np.unique(cut(tokens, width, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(counts.astype(np.int64))], names=["trigger", "hot"])
+
+    return _texts(docs).mapInArrow(run, "trigger long, hot long")
 
 
 #: Triggers of more occurrences have their windows compared by fingerprint in an aggregate, not in one shard.
@@ -177,56 +234,57 @@ class Repeats:
 
     def marked(self) -> DataFrame:
         """doc_id, pos, n, times, is_first of each occurrence in `some`."""
-        return self.some.select("trigger", "content", "doc_id", "pos", "n").join(self.kinds.select("trigger", "content", "times", "first_doc", "first_pos"), ["trigger", "content"]).select(
-            "doc_id", "pos", "n", "times", ((F.col("doc_id") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))).alias("is_first")
-        )
+        some = self.some.select("trigger", "content", "doc_id", "pos", "n")
+        found = even_join(some, self.kinds.select("trigger", "content", "times", "first_doc", "first_pos"), ["trigger", "content"], "times", ["doc_id", "pos"])
+        return found.select("doc_id", "pos", "n", "times", ((F.col("doc_id") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))).alias("is_first"))
 
 
-def repeats(found: DataFrame) -> Repeats:
-    """Aggregates and joins on phrase occurrences; every join's sides are read from tables, so that hot keys can be split."""
-    triggers = materialize(found.groupBy("trigger").agg(F.count(F.lit(1)).alias("hot")).filter("hot > 1"))
-    some = materialize(found.join(triggers, "trigger"))
+def repeats(docs: DataFrame, to_tokens: Callable, width: int, gram: int) -> Repeats:
+    """Aggregates and joins on phrase occurrences; a key of many rows is dealt over several tasks in every join."""
+    counts = trigger_counts(docs, to_tokens, width, gram)
+    triggers = materialize(counts.groupBy("trigger").agg(F.sum("hot").alias("hot")).filter("hot > 1"))
+    some = materialize(even_join(occurrences(docs, to_tokens, width, gram), triggers, ["trigger"], "hot", ["doc_id", "pos"]))
     kinds = materialize(
         some.groupBy("trigger", "content")
         .agg(F.count(F.lit(1)).alias("times"), F.max("hot").alias("hot"), F.max("n").alias("n"), F.min(F.struct("doc_id", "pos")).alias("least"))
         .select("trigger", "content", "times", "hot", "n", F.col("least.doc_id").alias("first_doc"), F.col("least.pos").alias("first_pos"))
     )
-    several = materialize(kinds.groupBy("trigger").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo <> hi").select("trigger"))
-    return Repeats(some, kinds, materialize(kinds.join(several, "trigger", "left_semi")))
+    several = materialize(kinds.groupBy("trigger").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1"))
+    return Repeats(some, kinds, materialize(even_join(kinds, several, ["trigger"], "forms", ["content"]).drop("forms")))
 
 
 def by_document(docs: DataFrame, rows: DataFrame, fields: list[str], kind: str = "inner") -> DataFrame:
-    """docs with the rows of their doc_id as the list __rows (as many as a document has places)."""
+    """docs with the rows of their doc_id as the list __rows (as many as a document has places); null where it has none."""
     lists = rows.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct(*fields)).alias("__rows"))
-    return docs.join(lists, F.col("doc_id") == F.col("__doc"), kind).drop("__doc")
+    known = docs.filter("doc_id is not null").join(lists, F.col("doc_id") == F.col("__doc"), kind).drop("__doc")
+    if kind == "inner":
+        return known
+    # Rows without doc_id have no key to be dealt by.
+    return known.unionByName(docs.filter("doc_id is null").withColumn("__rows", F.lit(None).cast(lists.schema["__rows"].dataType)))
 
 
 SHARD_ROW = "hot boolean, trigger long, content long, doc_id long, pos long, n int, times long, payload binary"
 
 
-def shard_rows(docs: DataFrame, dictionary: DataFrame, to_tokens: Callable, width: int, payload: Callable) -> DataFrame:
-    """The dictionary's phrases with their tokens; phrases of hot triggers as one row for each window, without tokens.
-
-    payload(tokens, data, first, n): what of a phrase of n tokens goes to its shard.
-    """
+def shard_rows(docs: DataFrame, dictionary: DataFrame, to_tokens: Callable, width: int) -> DataFrame:
+    """The dictionary's phrases with their tokens; phrases of hot triggers as one row for each window, without tokens."""
 
     def run(batches):
         for batch in batches:
             ids, texts, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
             out = []
             for k, doc_id in enumerate(ids):
-                data, offsets = buffer_of(texts.slice(k, 1))
-                tokens, _ = to_tokens(data, offsets)
-                roll = Rolling(tokens)
+                tokens = to_tokens(*buffer_of(texts.slice(k, 1)))
                 for r in lists[k].as_py():
                     first, n = r["first_pos"], r["n"]
-                    if first + n + width - 1 > len(tokens) or int(roll.of(np.array([first]), np.array([first + n + width - 1])).view(np.int64)[0]) != r["content"]:
+                    end = first + n + width - 1
+                    if end > len(tokens) or int(tokens.digests(np.array([first]), np.array([end])).view(np.int64)[0]) != r["content"]:
                         continue  # another row of the same doc_id holds the phrase
                     if r["hot"] <= HOT:
-                        out.append((False, r["trigger"], 0, doc_id, first, n, r["times"], payload(tokens, data, first, n + width - 1)))
+                        out.append((False, r["trigger"], 0, doc_id, first, n, r["times"], tokens.raw[first:end].tobytes()))
                         continue
                     at = first + np.arange(n, dtype=np.int64)
-                    for p, h in zip(at.tolist(), roll.of(at, at + width).view(np.int64).tolist(), strict=True):
+                    for p, h in zip(at.tolist(), tokens.digests(at, at + width).view(np.int64).tolist(), strict=True):
                         out.append((True, r["trigger"], h, doc_id, p, 1, r["times"], None))
                 if len(out) > 2000:
                     yield _batch(out)
@@ -235,8 +293,7 @@ def shard_rows(docs: DataFrame, dictionary: DataFrame, to_tokens: Callable, widt
                 yield _batch(out)
 
     wanted = dictionary.withColumn("doc_id", F.col("first_doc"))
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return by_document(rows, wanted, ["first_pos", "n", "trigger", "content", "hot", "times"]).mapInArrow(run, SHARD_ROW)
+    return by_document(_texts(docs), wanted, ["first_pos", "n", "trigger", "content", "hot", "times"]).mapInArrow(run, SHARD_ROW)
 
 
 _ROW_TYPES = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]

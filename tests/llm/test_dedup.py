@@ -5,7 +5,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from quillsieve.llm import op01_substring_dedup, op05_suffix_dedup, op07_simhash, pairs, phrases
+from quillsieve.llm import op01_substring_dedup, op05_suffix_dedup, op07_simhash, pairs, phrases, shared
 
 SCHEMA = "doc_id long, text string, source string, trigger int, times string, fp string, content long"
 
@@ -153,3 +153,43 @@ def test_suffix_dedup_of_words(spark, monkeypatch, seed, hot):
         kept[d] = [x for j, x in enumerate(w) if j not in gone]
     got = op05_suffix_dedup.suffix_dedup(frame(spark, docs), width=6, words=True).collect()
     assert {r.doc_id: brute.words(bytes(r.kept).decode()) for r in got} == kept
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if k.bit_count() % 2 == 0 else b for k in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_that_clash_in_a_polynomial_hash(spark, size):
+    """A Thue-Morse word and its complement: alike to any rolling hash modulo a power of 2."""
+    others = " ".join(f"w{k}" for k in range(19))
+    docs = [(1, f"{thue_morse(size)} {others}"), (2, f"{thue_morse(size, 'b', 'a')} {others}")]
+    got = op01_substring_dedup.substring_dedup(frame(spark, docs), width=20).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0}
+
+
+def test_texts_that_clash_in_a_polynomial_hash(spark):
+    docs = [(1, thue_morse(4096)), (2, thue_morse(4096, "b", "a")), (3, thue_morse(4096, "a ", "b ")), (4, thue_morse(4096, "b ", "a "))]
+    got = op05_suffix_dedup.suffix_dedup(frame(spark, docs), width=1500).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.suffix_dedup(docs, 1500))
+    got = op01_substring_dedup.substring_dedup(frame(spark, docs), width=1500).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute.substring_dedup(dict(docs), 1500)
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_keys_of_many_rows_are_dealt_over_tasks(spark, monkeypatch, hot):
+    monkeypatch.setattr(shared, "EVEN", 2)
+    monkeypatch.setattr(phrases, "HOT", hot)
+    line = " ".join(f"l{k}" for k in range(9))
+    docs = corpus(11) + [(1000 + k, f"u{k} v{k} {line} x{k} {line}") for k in range(40)]
+    got = op01_substring_dedup.substring_dedup(frame(spark, docs), width=6).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute.substring_dedup(dict(docs), 6)
+    got = op05_suffix_dedup.suffix_dedup(frame(spark, docs), width=24).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.suffix_dedup(docs, 24))
+
+
+def test_passages_are_counted(spark):
+    passage = " ".join(chr(97 + k % 26) for k in range(60))  # 119 bytes
+    docs = [(1, f"x {passage} y"), (2, f"{passage}\t\nz"), (3, " ".join(passage.split()[:50])), (4, None), (None, passage)]
+    got = op05_suffix_dedup.suffix_dedup(frame(spark, docs), passages=51).collect()
+    assert {r.doc_id: (r.n_removed, r.n_passage_words) for r in got} == {1: (0, 60), 2: (0, 60), 3: (0, 0), 4: (0, 0), None: (0, 0)}
