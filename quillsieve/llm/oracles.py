@@ -15,3 +15,17 @@ l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT l.u, r.c FROM r JOIN l ON l.v = r.vec_id)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.u = vec_id) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r GROUP BY vec_id
 """
+SUFFIX_DEDUP = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, p, md5(b[p + 1:p + 400]) AS k FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 399)) AS p FROM t)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM s) WHERE c > 1),
+marked AS (SELECT doc_id, p, (p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, -1))::INT AS new FROM again),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS e FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM marked) GROUP BY doc_id, r),
+parts AS (SELECT doc_id, e AS begin, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000000) AS stop, e - a AS n FROM runs UNION ALL SELECT doc_id, 0, min(a), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(b[begin + 1:stop]), '' ORDER BY begin) AS h, sum(n) AS n_removed, count(n) AS n_spans FROM parts JOIN t USING (doc_id) GROUP BY doc_id),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+v AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 50], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 49)) AS p FROM w)),
+passages AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM (SELECT doc_id, p, unnest(range(51)) AS o FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM v) WHERE c > 1) GROUP BY doc_id)
+SELECT t.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256, coalesce(passages.n, 0) AS n_passage_words
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN passages USING (doc_id)
+"""

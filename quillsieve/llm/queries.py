@@ -21,6 +21,10 @@ from quillsieve.llm.op10_license_scan import scan_licenses
 from quillsieve.llm.shared import table
 
 
+#: Passages of over 50 words: op5 counts them, the pipeline removes them.
+PASSAGE_WORDS = 51
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -46,8 +50,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(table(spark, sf_dir, "documents"), width=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = suffix_dedup(table(spark, sf_dir, "documents"), width=400, passages=PASSAGE_WORDS)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_near_vectors": oracles.NEAR_VECTORS}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_near_vectors": oracles.NEAR_VECTORS}
