@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,26 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.ndarray], tuple], payload: list[str], block: int | None = None) -> DataFrame:
-    """(u, v, links) from groups of rows with the same `key` (long), each row a `node` (long) and payload columns.
+def _large_counts(rows: DataFrame, block: int) -> DataFrame:
+    """(key, n) of all groups above `block` rows: counted where a million buckets of keys leave it open."""
+    bucket = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
+    full = materialize(rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("bucket"))
+    return rows.select("key", bucket.alias("bucket")).join(F.broadcast(full), "bucket", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.ndarray], tuple], payload: list[str], block: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(u, v, links, key) from groups of rows with the same `key` (long), each row a `node` (long) and payload columns.
 
     solve(table, group, side): many whole groups at once; group numbers the rows' groups in order; side is 0, or 0
     and 1 where only rows of different sides are to be compared. It gives (row, row, links of every row): pairs of
-    rows that are linked, or enough of them to connect what is linked, and counts.
+    rows that are linked, or enough of them to connect what is linked, and counts. Pairs give (u, v) that connect the
+    same nodes, without key; counts other than 0 give (u, null, links, key).
 
     Groups above `block` rows (BLOCK by default) come back in parts; each two parts (and each part with itself) then
-    meet in a task.
+    meet in a task. The largest groups are dealt into parts before, so that none is read by one task as a whole.
+    counts: (key, n), the rows of each group, where they are known; else rows are read twice more to count them.
     """
     block = block or BLOCK
-    spark = rows.sparkSession
     schema = "u long, v long, links long, key long, part long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*payload).schema)
 
     def results(table: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
@@ -59,7 +68,8 @@ def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.nd
         u = np.concatenate([edge[:, 0], node[some]])
         v = pa.array(np.concatenate([edge[:, 1], node[some]]), mask=np.concatenate([np.zeros(len(edge), bool), np.ones(len(some), bool)]))
         counts = np.concatenate([np.zeros(len(edge), dtype=np.int64), links[some]])
-        return pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(counts), *(pa.nulls(len(u), t) for t in (pa.int64(), pa.int64(), *(table.schema.field(p).type for p in payload)))], names=["u", "v", "links", "key", "part", *payload])
+        key = pa.concat_arrays([pa.nulls(len(edge), pa.int64()), pa.array(table.column("key").to_numpy()[some])])
+        return pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(counts), key, *(pa.nulls(len(u), t) for t in (pa.int64(), *(table.schema.field(p).type for p in payload)))], names=["u", "v", "links", "key", "part", *payload])
 
     def first(batches):
         """Whole groups at once; what exceeds `block` rows of a group is passed on in parts."""
@@ -130,6 +140,7 @@ def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.nd
         def flush():
             if got:
                 table = pa.concat_tables(got).combine_chunks()
+                got.clear()
                 side = table.column("side").to_numpy().astype(np.int8)
                 yield results(table, np.zeros(table.num_rows, dtype=np.int64), side)
 
@@ -147,14 +158,29 @@ def compare_groups(rows: DataFrame, solve: Callable[[pa.Table, np.ndarray, np.nd
                 got.append(table.slice(begin, end - begin))
         yield from flush()
 
-    dealt = rows.select("key", "node", *payload).repartition("key").sortWithinPartitions("key", "node")
-    out = materialize(dealt.mapInArrow(first, schema))
-    parts = out.filter("part is not null").select("key", "part", F.col("u").alias("node"), *payload)
-    counts = materialize(parts.groupBy("key").agg((F.max("part") + 1).alias("parts")))
-    found = out.filter("part is null").select("u", "v", "links")
-    if not counts.limit(1).count():
-        return found
-    spread = parts.join(counts, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    spread = spread.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "node", *payload)
-    more = spread.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node").mapInArrow(second, schema)
-    return found.unionByName(materialize(more.select("u", "v", "links")))
+    def paired(parts: DataFrame) -> DataFrame:
+        """parts: key, part, parts (their number), node, payload. What part meets part gives."""
+        spread = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        spread = spread.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "node", *payload)
+        more = spread.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node").mapInArrow(second, schema)
+        return materialize(more.select("u", "v", "links", "key"))
+
+    rows = rows.select("key", "node", *payload)
+    counts = _large_counts(rows, block) if counts is None else counts
+    large = materialize(counts.filter(F.col("n") > block).select("key", "n"))
+    seen = large.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    # Rows of larger groups than this are dealt at once; as they add up to the total, there are 20,000 such groups at most.
+    limit = max(block, (seen.total or 0) // 20_000)
+    found = []
+    if (seen.most or 0) > limit:
+        known = F.broadcast(large.filter(F.col("n") > limit).select("key", F.ceil(F.col("n") / block).alias("parts")))
+        parts = rows.join(known, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        found.append(paired(parts))
+        rows = rows.join(known, "key", "left_anti")
+    out = materialize(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(first, schema))
+    found.append(out.filter("part is null").select("u", "v", "links", "key"))
+    if out.filter("part is not null").limit(1).count():
+        parts = out.filter("part is not null").select("key", "part", F.col("u").alias("node"), *payload)
+        numbers = materialize(parts.groupBy("key").agg((F.max("part") + 1).alias("parts")))
+        found.append(paired(parts.join(numbers, "key")))
+    return reduce(DataFrame.unionByName, found)
