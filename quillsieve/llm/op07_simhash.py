@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillsieve.llm.components import components
 from quillsieve.llm.pairs import compare_groups
 from quillsieve.llm.phrases import mix
-from quillsieve.llm.shared import materialize
+from quillsieve.llm.shared import even_join, materialize, small_batches
 from quillsieve.llm.textstats import buffer_of
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -51,12 +51,11 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(begins, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
-    """Bit majority of the XXH64 of all word shingles, repeats included; big-endian, 8 bytes for each of `words`.
+def fingerprint_of(hashes: np.ndarray, words: int = 1) -> bytes:
+    """Bit majority of the hashes of all shingles, repeats included; big-endian, 8 bytes for each of `words`.
 
     Words after the first take the majority of the same hashes mixed anew.
     """
-    hashes = shingle_hashes(text, shingle)
     if not len(hashes):
         return bytes(8 * words)
     out = b""
@@ -64,15 +63,21 @@ def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
         ones = np.zeros(64, dtype=np.int64)
         for at in range(0, len(hashes), 1 << 16):
             part = hashes[at : at + (1 << 16)]
-            part = mix(part + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) if k else part
+            part = mix(part + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else part
             ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out += np.packbits(2 * ones > len(hashes)).tobytes()
     return out
 
 
+def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
+    return fingerprint_of(shingle_hashes(text, shingle), words)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
     """doc_id and fp (8 bytes for each word of the fingerprint) of every row."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -173,12 +178,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, words:
     """doc_id, fp and component_id, the smallest doc_id reachable over links of at most max_bits, for every row."""
     found = materialize(fingerprints(docs, shingle, words))
     known = found.filter("doc_id is not null")
-    points = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    edges = link_fingerprints(points, max_bits, piece)
+    points = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
+    edges = link_fingerprints(points.filter("node is not null"), max_bits, piece)
     # A doc_id with several fingerprints links them: through the node of each.
     several = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id")
     tied = known.join(materialize(several), "doc_id").join(points, "fp").select(F.greatest("doc_id", "node").alias("u"), F.least("doc_id", "node").alias("v"))
     roots = components(edges.unionByName(tied))
-    classes = materialize(points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
-    joined = found.join(classes, "fp", "left")
+    classes = materialize(points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "n"))
+    joined = even_join(found, classes, ["fp"], "n", ["doc_id"])
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
