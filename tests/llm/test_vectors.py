@@ -114,3 +114,36 @@ def test_recall_does_not_depend_on_the_longest_row(spark, times):
     found = recall(spark, x)
     print("recall", times, found)
     assert found >= 0.95
+
+
+def test_rows_that_share_an_id_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 3.0]), (1, [0.5, 0.0]), (None, [9.0, 9.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op03_neighbours.nearest(frame(spark, rows), F.col("vec_id") % 20 == 0).collect())
+    one = [(0, 1, 0, 1.0), (0, 2, 1, 0.5), (0, 3, 0, 0.0)]  # of either of the two equal rows
+    assert got == sorted([*one, *one, (0, 1, 0, 0.0), (0, 2, 0, 0.0), (0, 3, 1, 0.0)])
+
+
+def test_signs_are_packed():
+    sigs = np.random.default_rng(1).integers(0, 1 << 10, (7, 24))
+    import pyarrow as pa
+
+    words, back = op06_embedding_dedup.unpacked(pa.array(op06_embedding_dedup.packed(sigs, 10), type=pa.binary()), 24, 10)
+    assert (back == sigs).all() and words.shape == (7, 4)
+    apart = sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(sigs[0], sigs[1], strict=True))
+    assert int(np.bitwise_count(words[0] ^ words[1]).sum()) == apart
+
+
+def test_large_clusters_count_all_links(spark):
+    """A cluster whose members meet in many tables, beside a pair that barely links and one that barely does not."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    rows = [(k, (centre + 0.1 * rng.standard_normal(64)).tolist()) for k in range(400)]
+    other = rng.standard_normal(64)
+    off = rng.standard_normal(64)
+    off -= off @ other / (other @ other) * other
+    for k, cosine in enumerate((0.93, 0.89)):
+        at = 1000 + 10 * k
+        rows += [(at, (other * (1 + k) if k == 0 else -other).tolist()), (at + 1, ((1 if k == 0 else -1) * (cosine * other / np.linalg.norm(other)) + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off)).tolist())]
+    rows = [(v, [float(np.float32(y)) for y in x]) for v, x in rows]
+    got = op06_embedding_dedup.near_vectors(frame(spark, rows)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute.near_vectors(dict(rows), 0.9)
