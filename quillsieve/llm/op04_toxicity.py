@@ -16,7 +16,6 @@ document are read, and doc_id is no input of a score.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,21 +25,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm.model import Adam, held_out, rows_of, sample_ids, sigmoid
+from quillsieve.llm.phrases import mix, word_bounds, word_hashes
+from quillsieve.llm.shared import small_batches
+from quillsieve.llm.textstats import blocks, buffer_of
 
 #: Lower-cases A-Z; every other ASCII byte that is no letter or digit becomes a space.
-_WORD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+_WORD = np.array([c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)], dtype=np.uint8)
 DIMENSIONS = 1 << 22
-CACHE_WORDS = 200_000
-
-
-def features(word: bytes) -> list[int]:
-    """Hashed: the word, and its first four, five and six bytes where it is longer."""
-    parts = [b"w" + word, *(bytes([n]) + word[:n] for n in (4, 5, 6) if len(word) > n)]
-    return [zlib.crc32(p) % DIMENSIONS for p in parts]
-
-
-def distinct_words(text: bytes | None) -> set[bytes]:
-    return set(text.translate(_WORD).split()) if text else set()
+#: Bytes of the beginnings that are features beside the whole word.
+BEGINNINGS = (4, 5, 6)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) in order: the distinct hashed features of each text; of the useful ones only, where told."""
+    data = _WORD[data]
+    starts, ends = word_bounds(data, offsets)
+    texts, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    if len(starts):
+        text = np.searchsorted(offsets, starts, side="right") - 1
+        for n in (0, *BEGINNINGS):
+            at = np.flatnonzero(ends - starts > n)
+            hashes = word_hashes(data, starts[at], starts[at] + n if n else ends[at])
+            feature = (mix(hashes + np.uint64(n)) % np.uint64(DIMENSIONS)).astype(np.int64)
+            if useful is not None:
+                some = np.flatnonzero(useful[feature])
+                at, feature = at[some], feature[some]
+            texts.append(text[at])
+            found.append(feature)
+    both = np.unique(np.concatenate(texts) * DIMENSIONS + np.concatenate(found))
+    return both // DIMENSIONS, both % DIMENSIONS
 
 
 @dataclass
@@ -50,17 +63,22 @@ class ToxicityModel:
     weights: dict[int, float]
     bias: float | None
 
-    def score(self, text: bytes | None, cache: dict[bytes, float]) -> float:
+    def __post_init__(self) -> None:
+        self.names = np.array(sorted(self.weights), dtype=np.int64)
+        self.values = np.array([self.weights[k] for k in self.names.tolist()], dtype=np.float64)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Of binary texts, a block at a time."""
+        out = np.zeros(len(texts))
         if self.bias is None:
-            return 0.0
-        total = self.bias
-        for word in distinct_words(text):
-            w = cache.get(word)
-            if w is None:
-                get = self.weights.get
-                w = cache[word] = sum(get(f, 0.0) for f in features(word))
-            total += w
-        return float(sigmoid(total))
+            return out
+        useful = np.zeros(DIMENSIONS, dtype=bool)
+        useful[self.names] = True
+        for at, n in blocks(texts, 1 << 19):
+            text, feature = features(*buffer_of(texts.slice(at, n)), useful)
+            weight = self.values[np.searchsorted(self.names, feature)]
+            out[at : at + n] = sigmoid(np.bincount(text, weights=weight, minlength=n) + self.bias)
+        return out
 
 
 def _feature_rows(rows: DataFrame) -> Iterator[np.ndarray]:
@@ -68,17 +86,22 @@ def _feature_rows(rows: DataFrame) -> Iterator[np.ndarray]:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                texts = batch.column(1).slice(at, 500).to_pylist()
-                found = [np.unique(np.array([f for w in distinct_words(x) for f in features(w)], dtype=np.int32)) for x in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array([x.tobytes() for x in found], type=pa.binary())], names=["doc_id", "f"])
+            for at, n in blocks(batch.column(1), 1 << 19):
+                text, feature = features(*buffer_of(batch.column(1).slice(at, n)))
+                ends = np.searchsorted(text, np.arange(n + 1))
+                found = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(found, type=pa.binary())], names=["doc_id", "f"])
 
     for r in rows.mapInArrow(run, "doc_id long, f binary").sort("doc_id", "f").toLocalIterator():
         yield np.frombuffer(r.f, dtype=np.int32)
 
 
-def nnpu(pos: list[np.ndarray], unl: Iterable[np.ndarray], prior: float, least: int = 8, steps: int = 250, rate: float = 0.05, decay: float = 1e-4) -> tuple[dict[int, float], float | None]:
-    """Weights of features that at least `least` positives have, and the bias, by non-negative PU risk."""
+def nnpu(pos: list[np.ndarray], unl: Iterable[np.ndarray], prior: float, least: int = 8, apart: float = 2.5, steps: int = 250, rate: float = 0.05, decay: float = 1e-4) -> tuple[dict[int, float], float | None]:
+    """Weights of features and the bias, by non-negative PU risk.
+
+    Features take part that at least `least` positives have, and more of them by `apart` standard deviations than
+    chance gives at the feature's rate in the unlabelled rows: few positives tell few features from noise.
+    """
     counts = np.zeros(DIMENSIONS, dtype=np.int32)
     for row in pos:
         counts[row] += 1  # features of a row are distinct
@@ -90,9 +113,14 @@ def nnpu(pos: list[np.ndarray], unl: Iterable[np.ndarray], prior: float, least:
         columns = [x[x >= 0] for x in (place[r] for r in rows)]
         return np.concatenate([*columns, np.zeros(0, dtype=np.int32)]), np.repeat(np.arange(len(columns)), [len(c) for c in columns]), len(columns)
 
-    (pc, pr, n_pos), (uc, ur, n_unl), n = matrix(pos), matrix(unl), len(chosen)
+    (pc, pr, n_pos), (uc, ur, n_unl) = matrix(pos), matrix(unl)
     if not n_unl:
         return {}, None
+    share = (np.bincount(uc, minlength=len(chosen)) + 0.5) / (n_unl + 1)
+    telling = counts[chosen] - n_pos * share >= apart * np.sqrt(n_pos * share * (1 - share))
+    again = np.cumsum(telling) - 1
+    (pc, pr), (uc, ur) = ((again[c[telling[c]]], r[telling[c]]) for c, r in ((pc, pr), (uc, ur)))
+    chosen, n = chosen[telling], int(telling.sum())
     w, adam = np.zeros(n + 1), Adam(n + 1, rate)
     w[n] = np.log(prior / (1 - prior))
 
@@ -129,15 +157,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 4000, unla
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5) for every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
-        cache: dict[bytes, float] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                scores = [model.score(x.as_py(), cache) for x in batch.column(1).slice(at, 1000)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(scores, type=pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -145,16 +169,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows, with all their columns, whose whole text scores below 0.5."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
-        cache: dict[bytes, float] = {}
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                part = batch.slice(begin, 1000)
-                keep = [model.score(x.as_py(), cache) < 0.5 for x in part.column(at).cast(pa.binary())]
-                yield part.filter(pa.array(keep, type=pa.bool_()))
+            yield batch.filter(pa.array(model.scores(batch.column(at).cast(pa.binary())) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
