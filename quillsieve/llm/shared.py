@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch at most: texts are long, and JVM and Python each hold a batch several times.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
