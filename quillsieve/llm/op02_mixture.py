@@ -13,33 +13,40 @@ table gives an empty result; columns other than those named are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsieve.llm.shared import materialize
+from quillsieve.llm.shared import materialize, small_batches
 from quillsieve.llm.textstats import blocks, buffer_of, per_text, word_starts
 
 #: Documents in one bucket, in which offsets are a running sum.
 BUCKET_DOCS = 2000
+#: Output shards that one task draws.
+SHARDS_A_TASK = 16
 #: The table of sources is broadcast up to this many rows.
 BROADCAST_SOURCES = 10_000
 
 
 def word_counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and `size`, the number of [^\\x20\\x09-\\x0D]+ in the whole text."""
-    plain = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
+    """The kept columns, `_mark`, a hash of the text, and `size`, the number of [^\\x20\\x09-\\x0D]+ in the whole text."""
+    text = F.col("text").cast("binary")
+    plain = docs.select(*keep, F.xxhash64(text).alias("_mark"), text.alias("_text"))
     schema = plain.drop("_text").schema.add("size", "long")
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(len(keep) + 1)
             sizes = np.zeros(len(texts), dtype=np.int64)
             for at, n in blocks(texts, 4 << 20):
                 data, offsets = buffer_of(texts.slice(at, n))
                 sizes[at : at + n] = per_text(word_starts(data, offsets), offsets)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes)], names=[*keep, "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes)], names=[*keep, "_mark", "size"])
 
     return plain.mapInArrow(run, schema)
 
@@ -65,22 +72,36 @@ def targets(sizes: list[int], weights: tuple[int, ...] = (1, 2, 3), max_repeat:
     return out
 
 
-def shard_counts(quotas: np.ndarray, slots: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): multinomial draws from what is left of the quotas, `slots` to a shard."""
-    rng = np.random.default_rng(seed)
-    left, done, out, shard = quotas.astype(np.int64).copy(), np.zeros(len(quotas), dtype=np.int64), [], 0
-    while left.sum() > 0:
-        take, need = np.zeros_like(left), min(slots, int(left.sum()))
-        while need > 0:
-            free = left - take
-            drawn = np.minimum(rng.multinomial(need, free / free.sum()), free)
-            take += drawn
-            need -= int(drawn.sum())
-        out += [(shard, int(s), int(done[s]), int(take[s])) for s in np.flatnonzero(take)]
-        done += take
-        left -= take
-        shard += 1
-    return out
+def _drawn(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of `n` slots by what is left of the quotas, none above its quota."""
+    take, need = np.zeros_like(quotas), n
+    while need > 0:
+        free = quotas - take
+        drawn = np.minimum(rng.multinomial(need, free / free.sum()), free)
+        take += drawn
+        need -= int(drawn.sum())
+    return take
+
+
+def shard_counts(quotas: np.ndarray, slots: int, seed: int, first: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slots, slots) by source, of shards first..end-1 of `slots` slots each.
+
+    A tree of multinomial draws: a stretch of shards splits what it has between its halves, from draws seeded by
+    the stretch, so any shards can be drawn alone, in the time of a path, and all of them together meet the quotas.
+    """
+    shards = max(1, -(-int(quotas.sum()) // slots))
+    stack = [(0, 1 << (shards - 1).bit_length(), quotas.astype(np.int64), np.zeros(len(quotas), dtype=np.int64))]
+    while stack:
+        a, b, left, done = stack.pop()
+        if a >= end or b <= first or not left.sum():
+            continue
+        if b - a == 1:
+            yield a, done, left
+            continue
+        mid = (a + b) // 2
+        take = _drawn(left, min((mid - a) * slots, int(left.sum())), np.random.default_rng([seed, a, b]))
+        stack.append((mid, b, left - take, done + take))
+        stack.append((a, mid, take, done))
 
 
 def _permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -122,11 +143,15 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: i
     )
     table = table.withColumnRenamed("source", "_source")
     placed = sized.join(F.broadcast(table) if len(found) <= BROADCAST_SOURCES else table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
-    sums = placed.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = materialize(sums.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of one doc_id, or of none, are dealt by their text too.
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_mark"), F.col("buckets")))
+    sums = materialize(placed.groupBy("src", "bucket").agg(F.sum("size").alias("n")).withColumn("block", F.floor(F.col("bucket") / BUCKET_DOCS)))
+    blocks_of = sums.groupBy("src", "block").agg(F.sum("n").alias("n"))
+    before = lambda by, at: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks_of.select("src", "block", before(["src"], "block").alias("of_block"))
+    sums = sums.withColumn("in_block", before(["src", "block"], "bucket")).join(offsets, ["src", "block"])
+    sums = materialize(sums.select("src", "bucket", (F.col("of_block") + F.col("in_block")).alias("base")))
+    inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "_mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(sums, ["src", "bucket"]).select("doc_id", "source", *keep, "size", "source_size", "target", "src", (F.col("base") + F.col("inside")).alias("start"))
     placed = materialize(placed)
@@ -138,26 +163,26 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: i
     whole = np.array([w // s if s else 0 for w, s in zip(want, sizes, strict=True)], dtype=np.int64)
     rest = want - whole * np.array(sizes, dtype=np.int64)
     quotas = whole * per_epoch * (np.array(sizes) > 0) + -(-rest // block)
-    draws = shard_counts(quotas, shard_slots, seed) if len(quotas) else []
-    rows = [(sh, s, at, n, int(full[s]), int(per_epoch[s]), int(sizes[s]), int(want[s])) for sh, s, at, n in draws]
-    drawn = spark.createDataFrame(rows, "shard long, src int, first long, n long, full long, per_epoch long, source_size long, want long")
+    groups = -(-max(1, -(-int(quotas.sum()) // shard_slots)) // SHARDS_A_TASK) if len(quotas) else 0
 
     def fill(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                slot = row["first"] + np.arange(row["n"], dtype=np.int64)
-                epoch, index = slot // row["per_epoch"], slot % row["per_epoch"]
-                key = np.uint64(seed * 1_000_003 + row["src"] * 7919) + epoch.astype(np.uint64) * np.uint64(104_729)
-                to = index.copy()
-                inner = index < row["full"]
-                if inner.any():
-                    to[inner] = _permute(index[inner], np.full(int(inner.sum()), row["full"]), key[inner])
-                room = row["want"] - epoch * row["source_size"] - index * block
-                words = np.minimum(np.minimum(block, row["source_size"] - to * block), room)
-                one = np.ones(len(slot), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((one * row["src"]).astype(np.int32)), pa.array(to), pa.array(epoch), pa.array(words), pa.array(one * row["shard"]), pa.array(slot)], names=["src", "block", "epoch", "words", "shard", "slot"])
-
-    slots = drawn.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(fill, "src int, block long, epoch long, words long, shard long, slot long")
+            for group in batch.column(0).to_pylist():
+                for shard, firsts, counts in shard_counts(quotas, shard_slots, seed, group * SHARDS_A_TASK, (group + 1) * SHARDS_A_TASK):
+                    for src in np.flatnonzero(counts).tolist():
+                        slot = firsts[src] + np.arange(counts[src], dtype=np.int64)
+                        epoch, index = slot // per_epoch[src], slot % per_epoch[src]
+                        key = np.uint64(seed * 1_000_003 + src * 7919) + epoch.astype(np.uint64) * np.uint64(104_729)
+                        to = index.copy()
+                        inner = index < full[src]
+                        if inner.any():
+                            to[inner] = _permute(index[inner], np.full(int(inner.sum()), full[src]), key[inner])
+                        room = want[src] - epoch * sizes[src] - index * block
+                        words = np.minimum(np.minimum(block, sizes[src] - to * block), room)
+                        one = np.ones(len(slot), dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array((one * src).astype(np.int32)), pa.array(to), pa.array(epoch), pa.array(words), pa.array(one * shard), pa.array(slot)], names=["src", "block", "epoch", "words", "shard", "slot"])
+
+    slots = spark.range(0, groups, 1, max(1, min(groups, 100_000))).mapInArrow(fill, "src int, block long, epoch long, words long, shard long, slot long")
     pieces = placed.filter("size > 0").select("src", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     # Statistics see the few rows that slots are made from, not the slots: the hint keeps them from being broadcast.
     takes = slots.hint("merge").join(pieces, ["src", "block"]).select(
