@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.shared import materialize
+from quillsieve.llm.shared import materialize, small_batches
 
 #: Words whose ids a worker keeps for all its tasks (the first it meets), and for a while.
 KEPT_WORDS, RECENT_WORDS = 250_000, 50_000
@@ -105,6 +105,8 @@ def ids_by(path: str) -> Ids:
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, cut into pieces of `length` where longer."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         ids_of = ids_by(tokenizer)
         for batch in batches:
@@ -150,10 +152,10 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def best_fit_pack(pieces: DataFrame, capacity: int = 2048, full: float = 0.99, items_per_task: int = 40_000, carry: int = 10_000) -> DataFrame:
     """The pieces with sequence_id and offset. Full pieces are sequences of their own; the rest is packed in rounds."""
     spark = pieces.sparkSession
-    pieces = pieces if pieces.isStreaming else materialize(pieces)
+    pieces = materialize(pieces)
     columns = pieces.columns
     one = F.struct(*columns)
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())  # deals repeated rows apart
     rest = pieces.filter(F.col("length") < capacity)
     parts = max(1, -(-rest.count() // items_per_task))
     items = rest.select(F.col("length").alias("size"), key.alias("key"), F.array(one).alias("members"))
@@ -163,6 +165,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048, full: float = 0.99, i
         last = parts == 1
 
         def pack(batches, last=last):
+            ids_by.cache_clear()  # all pieces are stored: a worker needs no more words
             got = [b for b in batches if b.num_rows]
             if not got:
                 return
