@@ -1,6 +1,13 @@
+import zlib
+from collections import Counter
 
+import brute
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from quillsieve.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +119,111 @@ def test_rows_get_their_own_takes(spark):
     words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in "abc"}
     assert words == aims
     assert all(any(r.text in t for t in texts) for r in got)
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_other_columns_may_clash(spark, odd, stage):
+    """Columns named like ones used inside are carried along."""
+    names = ["_copy", "_row", "_hash", "_nth", "_takes", "component_id", "src", "start", "size", "__rows", "node"]
+    docs = odd
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    got = stage[1](spark, docs, SF)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all(r[name] == k for r in rows for k, name in enumerate(names))
+
+
+def test_many_rows_without_id(spark, odd):
+    """Rows without doc_id have no key: they pass the stages that drop and cut by it."""
+    docs = spark.createDataFrame([(None, f"text number {k % 3}", "en", "s", 5) for k in range(40)], odd.schema)
+    assert corpus_pipeline.near_copies(spark, docs, SF).count() == 40
+    assert sorted(r.text for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()) == sorted(r.text for r in docs.collect())
+    assert sum(len(r.text.split()) for r in corpus_pipeline.source_mixture(spark, docs, SF).collect()) == 120
+
+
+# Stages against plain versions, on all documents of a table --------------------------------------------------------
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    return docs, {r.doc_id: r for r in docs.collect()}
+
+
+def test_toxicity_against_scores(spark, small):
+    docs, rows = small
+    kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, SMALL).collect()}
+    predicted = {r.doc_id: r.predicted for r in queries.op4_toxicity(spark, SMALL).collect()}
+    assert kept == {d for d in rows if not predicted[d]}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    assert sum(d not in kept for d, toxic in labels.items() if not toxic) <= 0.05 * len(labels)
+
+
+def test_near_copies_against_brute_force(spark, small):
+    docs, rows = small
+    sets = {}
+    for d, r in rows.items():
+        w = brute.words(brute.lower(r.text))
+        sets[d] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    holders, common = {}, {}
+    for d in sorted(sets):
+        for s in sets[d]:
+            for other in holders.setdefault(s, []):
+                common[other, d] = common.get((other, d), 0) + 1
+            holders[s].append(d)
+    links = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    empty = [d for d in sets if not sets[d]]
+    roots = brute.roots(list(sets), links + list(zip(empty, empty[1:], strict=False)))
+    got = {r.doc_id: r for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()}
+    assert set(got) == {d for d, root in roots.items() if d == root}
+    assert all(got[d] == rows[d] for d in got)
+
+
+def test_repeated_passages_against_brute_force(spark, small):
+    docs, rows = small
+    split = {d: brute.words(r.text) for d, r in rows.items()}
+    counts = Counter(tuple(w[k : k + 51]) for w in split.values() for k in range(len(w) - 50))
+    expected = {}
+    for d, w in split.items():
+        gone = {j for k in range(len(w) - 50) if counts[tuple(w[k : k + 51])] > 1 for j in range(k, k + 51)}
+        expected[d] = [x for j, x in enumerate(w) if j not in gone]
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, SMALL).collect()}
+    assert {d: brute.words(r.text) for d, r in got.items()} == expected
+    assert all(got[d] == rows[d] for d in rows if len(expected[d]) == len(split[d]))
+
+
+def test_mixture_against_plain_targets(spark, small):
+    docs, rows = small
+    sizes = Counter()
+    for r in rows.values():
+        sizes[r.source] += len(brute.words(r.text))
+    names = sorted(sizes)
+    weights = [1 + k % 3 for k in range(len(names))]
+    aims = {s: sum(sizes.values()) * w / sum(weights) for s, w in zip(names, weights, strict=True)}
+    assert all(aims[s] <= 3 * sizes[s] for s in names)  # no excess to share again in this table
+    taken, by_doc = Counter(), Counter()
+    for r in corpus_pipeline.source_mixture(spark, docs, SMALL).collect():
+        w = brute.words(r.text)
+        taken[r.source] += len(w)
+        by_doc[r.doc_id] += len(w)
+        assert r.source == rows[r.doc_id].source and not Counter(w) - Counter(brute.words(rows[r.doc_id].text))
+    assert all(abs(taken[s] - aims[s]) <= 1 for s in names)
+    assert all(n <= 3 * len(brute.words(rows[d].text)) for d, n in by_doc.items())
+
+
+def test_packing_against_the_tokenizer(spark, small):
+    from tokenizers import Tokenizer
+
+    docs, rows = small
+    t = Tokenizer.from_file(queries.word_bpe())
+    expected = set()
+    for d, r in rows.items():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        expected |= {(d, p, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], dtype="<u4").tobytes())) for p, s in enumerate(range(0, len(ids), 2048))}
+    got = corpus_pipeline.packing(spark, docs, SMALL).toPandas()
+    assert set(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == expected
+    assert got.groupby("sequence_id").length.sum().max() <= 2048
+    assert got.sequence_id.nunique() <= 1.01 * got.length.sum() / 2048 + 1
