@@ -1,5 +1,7 @@
 """SQL (DuckDB) for the corpus queries that SQL can express on small tables."""
 
+from quillsieve.llm.xxh64_sql import xxh64
+
 SUBSTRING_DEDUP = """
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w)),
@@ -29,3 +31,17 @@ passages AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM (SELECT doc_id, p, u
 SELECT t.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256, coalesce(passages.n, 0) AS n_passage_words
 FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN passages USING (doc_id)
 """
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SIMHASH = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, array_to_string(ws[p:p + 3], ' ') AS item FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item) AS id, item FROM (SELECT DISTINCT item FROM s)),
+h AS MATERIALIZED (SELECT doc_id, h FROM s JOIN d USING (item) JOIN {xxh64('SELECT * FROM d')} x ON x.id = d.id),
+bits AS (SELECT doc_id, b, sum(((h >> b) & 1)::BIGINT) AS ones, count(*) AS n FROM (SELECT doc_id, h, unnest(range(64))::UBIGINT AS b FROM h) GROUP BY doc_id, b),
+f AS MATERIALIZED (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM w LEFT JOIN (SELECT doc_id, bit_or(CASE WHEN 2 * ones > n THEN 1::UBIGINT << b ELSE 0::UBIGINT END) AS fp FROM bits GROUP BY doc_id) USING (doc_id)),
+p AS MATERIALIZED (SELECT fp, min(doc_id) AS node FROM f GROUP BY fp),
+l AS MATERIALIZED (SELECT a.node AS u, b.node AS v FROM p a JOIN p b ON a.node <> b.node AND bit_count(xor(a.fp, b.fp)::BIT) <= 4),
+r AS (SELECT node, node AS c FROM p UNION SELECT l.u, r.c FROM r JOIN l ON l.v = r.node)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN p USING (fp) JOIN (SELECT node, min(c) AS component_id FROM r GROUP BY node) USING (node)
+"""

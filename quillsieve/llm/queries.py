@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_near_vectors": oracles.NEAR_VECTORS}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_near_vectors": oracles.NEAR_VECTORS, "op7_simhash": oracles.SIMHASH}
