@@ -269,39 +269,39 @@ SHARD_ROW = "hot boolean, trigger long, content long, doc_id long, pos long, n i
 def shard_rows(docs: DataFrame, dictionary: DataFrame, to_tokens: Callable, width: int) -> DataFrame:
     """The dictionary's phrases with their tokens; phrases of hot triggers as one row for each window, without tokens."""
 
+    def phrases_of(ids: np.ndarray, tokens: Tokens, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        """Of a block of documents, with each one's phrases in lists."""
+        first, n, trigger, content, hot, times = (c.to_numpy() for c in lists.flatten().flatten())
+        doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        begin = tokens.offsets[:-1][doc] + first
+        end = begin + n + width - 1
+        own = np.flatnonzero(end <= tokens.offsets[1:][doc])
+        own = own[tokens.digests(begin[own], end[own]).view(np.int64) == content[own]]  # else another row of the doc_id holds the phrase
+        some = own[hot[own] <= HOT]
+        raw = [tokens.raw[x:y].tobytes() for x, y in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+        yield _batch(False, trigger[some], np.zeros(len(some), dtype=np.int64), ids[doc[some]], first[some], n[some], times[some], pa.array(raw, type=pa.binary()))
+        many = own[hot[own] > HOT]
+        each = np.repeat(many, n[many])
+        place = np.arange(len(each)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+        window = tokens.digests(begin[each] + place, begin[each] + place + width).view(np.int64)
+        yield _batch(True, trigger[each], window, ids[doc[each]], first[each] + place, np.ones(len(each), dtype=np.int32), times[each], pa.nulls(len(each), pa.binary()))
+
     def run(batches):
         for batch in batches:
-            ids, texts, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            out = []
-            for k, doc_id in enumerate(ids):
-                tokens = to_tokens(*buffer_of(texts.slice(k, 1)))
-                for r in lists[k].as_py():
-                    first, n = r["first_pos"], r["n"]
-                    end = first + n + width - 1
-                    if end > len(tokens) or int(tokens.digests(np.array([first]), np.array([end])).view(np.int64)[0]) != r["content"]:
-                        continue  # another row of the same doc_id holds the phrase
-                    if r["hot"] <= HOT:
-                        out.append((False, r["trigger"], 0, doc_id, first, n, r["times"], tokens.raw[first:end].tobytes()))
-                        continue
-                    at = first + np.arange(n, dtype=np.int64)
-                    for p, h in zip(at.tolist(), tokens.digests(at, at + width).view(np.int64).tolist(), strict=True):
-                        out.append((True, r["trigger"], h, doc_id, p, 1, r["times"], None))
-                if len(out) > 2000:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+            ids = batch.column(0).to_numpy()
+            for row, n in blocks(batch.column(1), STRETCH):
+                tokens = to_tokens(*buffer_of(batch.column(1).slice(row, n)))
+                for found in phrases_of(ids[row : row + n], tokens, batch.column(2).slice(row, n)):
+                    for at in range(0, found.num_rows, 5000):
+                        yield found.slice(at, 5000)
 
     wanted = dictionary.withColumn("doc_id", F.col("first_doc"))
     return by_document(_texts(docs), wanted, ["first_pos", "n", "trigger", "content", "hot", "times"]).mapInArrow(run, SHARD_ROW)
 
 
-_ROW_TYPES = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-_ROW_NAMES = [f.split()[0] for f in SHARD_ROW.split(", ")]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), _ROW_TYPES, strict=True)], names=_ROW_NAMES)
+def _batch(hot: bool, trigger, content, doc_id, pos, n, times, payload) -> pa.RecordBatch:
+    columns = [np.full(len(trigger), hot), trigger, content, doc_id, pos, n.astype(np.int32), times]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), payload], names=[f.split()[0] for f in SHARD_ROW.split(", ")])
 
 
 def in_shards(rows: DataFrame, solve: Callable, limit: int) -> DataFrame:
