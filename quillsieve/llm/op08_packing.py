@@ -45,7 +45,7 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.recent = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words, self.recent = Tokenizer.from_file(path), {}, []
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -74,27 +74,24 @@ class Ids:
                 yield np.array(e.ids, dtype="<u4")
 
     def _keep(self, word: bytes, ids: bytes) -> None:
-        (self.kept if len(self.kept) < KEPT_WORDS else self.recent)[word] = ids
-
-    def _unknown(self, words: set[bytes]) -> set[bytes]:
-        return words.difference(self.kept).difference(self.recent)
+        if len(self.words) >= KEPT_WORDS:
+            self.recent.append(word)
+        self.words[word] = ids
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, id 0 at the end."""
         split = [(x if b"<|" in x else x.translate(_LOWER)).split() if x else [] for x in texts]
         if len(self.recent) > RECENT_WORDS:
+            for word in self.recent:
+                self.words.pop(word, None)
             self.recent.clear()
-        new = self._unknown(set().union(*split))
+        new = set().union(*split).difference(self.words)
         tails = {w: (m[1], m[2]) for w in new if (m := _TAIL.fullmatch(w)) and b"<|" not in w}
-        self._learn(list(self._unknown((new - tails.keys()).union(*tails.values()))))
+        self._learn(list((new - tails.keys()).union(*tails.values()).difference(self.words)))
         for word, (a, b) in tails.items():
-            self.recent[word] = self._of(a) + self._of(b)
-        kept, of = self.kept.get, self._of
-        return [b"".join([kept(w) or of(w) for w in words]) + b"\0\0\0\0" for words in split]
-
-    def _of(self, word: bytes) -> bytes:
-        ids = self.kept.get(word)
-        return self.recent[word] if ids is None else ids
+            self._keep(word, self.words[a] + self.words[b])
+        of = self.words.__getitem__
+        return [b"".join(map(of, words)) + b"\0\0\0\0" for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -111,9 +108,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFra
         ids_of = ids_by(tokenizer)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, batch.num_rows, 200):
+            for at in range(0, batch.num_rows, 500):
                 rows = []
-                for key, ids in zip(keys[at : at + 200], ids_of(texts.slice(at, 200).to_pylist()), strict=True):
+                for key, ids in zip(keys[at : at + 500], ids_of(texts.slice(at, 500).to_pylist()), strict=True):
                     n = len(ids) // 4
                     for piece, start in enumerate(range(0, n, length)):
                         rows.append((key, piece, start, min(length, n - start), zlib.crc32(ids[4 * start : 4 * (start + length)])))
@@ -165,7 +162,6 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048, full: float = 0.99, i
         last = parts == 1
 
         def pack(batches, last=last):
-            ids_by.cache_clear()  # all pieces are stored: a worker needs no more words
             got = [b for b in batches if b.num_rows]
             if not got:
                 return
