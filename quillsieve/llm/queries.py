@@ -16,7 +16,7 @@ from quillsieve.llm.op05_suffix_dedup import suffix_dedup
 from quillsieve.llm.op06_embedding_dedup import near_vectors
 from quillsieve.llm.op07_simhash import near_duplicates
 from quillsieve.llm.op08_packing import best_fit_pack, token_pieces
-from quillsieve.llm.op09_quality import fit_quality, score_quality
+from quillsieve.llm.op09_quality import fit_quality, score_quality, stored_features
 from quillsieve.llm.op10_license_scan import scan_licenses
 from quillsieve.llm.shared import table
 
@@ -68,8 +68,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    known = stored_features(table(spark, sf_dir, "documents"))
+    return score_quality(known, fit_quality(known, table(spark, sf_dir, "labels")))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

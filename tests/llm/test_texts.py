@@ -289,3 +289,32 @@ def test_scores_do_not_depend_on_ids(spark):
     one = {r.doc_id: r.score for r in op04_toxicity.score_toxicity(docs, model).collect()}
     two = {r.doc_id - 10**6: r.score for r in op04_toxicity.score_toxicity(moved, model).collect()}
     assert one == two
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    """More rows of each class than the 4,000 that a sample held."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["ab", "cd", "Ef", "g"], 8)) + ("" if k % 2 else " !!") for k in range(12_000)]
+    labels = [(k, k % 2, 0) for k in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    real = op09_quality.bradley_terry
+    op09_quality.bradley_terry = lambda table, *a: seen.append(table.count()) or real(table, *a)
+    try:
+        model = op09_quality.fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    finally:
+        op09_quality.bradley_terry = real
+    assert seen == [sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(len(texts)))]
+    got = op09_quality.score_quality(docs, model).toPandas()
+    assert (got.predicted == got.doc_id % 2).mean() > 0.99
+
+
+def test_loss_over_all_pairs():
+    rng = np.random.default_rng(2)
+    bad, good = rng.integers(0, 40, 30), rng.integers(10, 60, 50)
+    counts = np.stack([np.bincount(bad, minlength=61), np.bincount(good, minlength=61)]).astype(float)
+    loss, (of_bad, of_good) = op09_quality.pair_loss(counts)
+    apart = (good[:, None] - bad[None, :]) * op09_quality.STEP
+    assert loss == pytest.approx(np.logaddexp(0, -apart).mean())
+    assert of_bad[bad] == pytest.approx((1 / (1 + np.exp(apart))).mean(axis=0))
+    assert of_good[good] == pytest.approx(-(1 / (1 + np.exp(apart))).mean(axis=1))
