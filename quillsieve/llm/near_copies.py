@@ -1,10 +1,13 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are what op7 links, SimHash fingerprints of at most 4 differing bits, and what it cannot see at 0.8, where
-64 bits differ in 10 on average: documents that share a MinHash band. There are 32 bands of 4 hashes, so that a pair at 0.8
-shares none with a chance of 5 in 100 million, and less above. Documents linked to one another, directly or through
-others, are one group; in a group all pairs are compared by their whole sets, and only those of 0.8 or
-more are links. Equal sets are one point, and large groups are compared in blocks on tasks of their own.
+Links are op7's: SimHash fingerprints of 256 bits, of each document's distinct shingles, that differ in at most 89. A pair at
+0.8 differs in 15 % of the bits (39), and in 3/16 at worst (sets of 5 and 4 shingles), so that it exceeds 89 with a chance of
+4e-10. The grid has no cells for links of so many bits; what it proposes are fingerprints whose first 64 bits differ in at most
+4, and to these come documents that share a MinHash band. There are 32 bands of 4 hashes, so that a pair at 0.8 shares
+none with a chance of 5e-8, and less above. What is proposed, directly or through others, is one block, whose
+fingerprints are compared with one another. Documents that op7 links, directly or through others, are one group; in a
+group all pairs are compared by their whole sets, and only those of 0.8 or more are followed. What no fingerprint
+links is compared with nothing. Equal sets are one point, and large groups are compared in blocks on tasks of their own.
 
 Defined results: shingles are of words as op7 has them, in ASCII lower case, and a text of fewer words is one
 shingle; each counts once, by a 64-bit hash; null and empty texts are copies of one another; rows without
@@ -29,6 +32,8 @@ from quillsieve.llm.shared import even_join, materialize, small_side
 from quillsieve.llm.textstats import blocks, buffer_of
 
 BANDS, ROWS = 32, 4
+#: 64-bit words of a fingerprint, and the bits in which linked ones differ at most.
+WORDS, MAX_BITS = 4, 89
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], dtype=np.uint8)
 #: Sets that one task compares with one another: they are larger than a fingerprint.
 BLOCK = 1024
@@ -97,6 +102,12 @@ def _solve(table: pa.Table, group: np.ndarray, side: np.ndarray):
     return np.concatenate(left), np.concatenate(right), np.zeros(len(sizes), dtype=np.int64)
 
 
+def _whole(edges: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that edges link, the roots with them."""
+    linked = components(edges)
+    return materialize(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over links, for every row that has a doc_id."""
 
@@ -105,8 +116,8 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 ids, digests, fps, keys = batch.column(0).slice(at, 500), [], [], []
                 for every in shingles(batch.column(1).slice(at, 500), shingle):
-                    fps.append(fingerprint_of(every))
                     hashes = np.unique(every)
+                    fps.append(fingerprint_of(hashes, WORDS))
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     keys.append(bands(hashes).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
@@ -121,13 +132,14 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = materialize(known.mapInArrow(sketch, "doc_id long, digest binary, fp binary, bands array<long>"))
     points = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
-    alike = materialize(points.groupBy("fp").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")))
+    first = points.select("node", F.substring("fp", 1, 8).alias("fp"))
+    alike = materialize(first.groupBy("fp").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")))
     close = link_fingerprints(alike.select("fp", F.col("v").alias("node")))
-    same = even_join(points.select("fp", "node"), alike, ["fp"], "c", ["node"]).select(F.col("node").alias("u"), "v")
+    same = even_join(first, alike, ["fp"], "c", ["node"]).select(F.col("node").alias("u"), "v")
     spread = points.select("node", F.explode("bands").alias("key"))
     met = materialize(spread.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    groups = components(even_join(spread, met, ["key"], "c", ["node"]).select(F.col("node").alias("u"), "v").unionByName(same).unionByName(close))
-    groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()))
+    proposed = _whole(even_join(spread, met, ["key"], "c", ["node"]).select(F.col("node").alias("u"), "v").unionByName(same).unionByName(close))
+    groups = _whole(link_fingerprints(points, MAX_BITS, blocks=proposed.withColumnRenamed("root", "key")))
     whole = known.join(small_side(groups), F.col("doc_id") == F.col("node")).select("root", "node", "text").mapInArrow(sets, "key long, node long, shingles binary")
     sizes = groups.groupBy(F.col("root").alias("key")).agg(F.count(F.lit(1)).alias("n"))  # or more: a doc_id with several sets
     links = compare_groups(whole, _solve, ["shingles"], BLOCK, sizes).filter("v is not null").select("u", "v")

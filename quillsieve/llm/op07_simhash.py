@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillsieve.llm.components import components
 from quillsieve.llm.pairs import compare_groups
 from quillsieve.llm.phrases import mix
-from quillsieve.llm.shared import even_join, materialize, small_batches
+from quillsieve.llm.shared import even_join, materialize, small_batches, small_side
 from quillsieve.llm.textstats import buffer_of
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -158,8 +158,12 @@ def _solver(max_bits: int):
     return solve
 
 
-def link_fingerprints(points: DataFrame, max_bits: int = 4, piece: int = 32) -> DataFrame:
-    """points: (fp, node), one row for each distinct fingerprint. Edges (u, v) that connect those within max_bits."""
+def link_fingerprints(points: DataFrame, max_bits: int = 4, piece: int = 32, blocks: DataFrame | None = None) -> DataFrame:
+    """points: (fp, node), one row for each distinct fingerprint. Edges (u, v) that connect those within max_bits.
+
+    blocks: a stored table (node, key) of groups that are compared whole in place of the grid's cells, for links of more
+    bits than those find.
+    """
 
     def run(batches):
         for batch in batches:
@@ -170,6 +174,10 @@ def link_fingerprints(points: DataFrame, max_bits: int = 4, piece: int = 32) ->
                     part = pa.array(rows[k : k + 50_000])
                     yield pa.RecordBatch.from_arrays([pa.array(cell[k : k + 50_000].view(np.int64)), nodes.take(part), fps.take(part)], names=["key", "node", "fp"])
 
+    if blocks is not None:
+        sizes = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        met = points.select("fp", "node").join(small_side(blocks), "node").select("key", "node", "fp")
+        return compare_groups(met, _solver(max_bits), ["fp"], counts=sizes).filter("v is not null").select("u", "v")
     spread = points.select("fp", "node").mapInArrow(run, "key long, node long, fp binary")
     return compare_groups(spread, _solver(max_bits), ["fp"]).filter("v is not null").select("u", "v")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillsieve.llm import queries
+from quillsieve.llm import near_copies, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,6 +90,27 @@ def test_near_copies_from_a_similarity_of_8_in_10(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == list(range(0, 400, 2))
 
 
+def test_near_copies_are_linked_by_fingerprints(spark, monkeypatch):
+    """The bands only propose: what op7's operator does not link stays, save equal sets."""
+    pairs = [altered(k, 304, 3) for k in range(20)]
+    rows = [(3 * k + at, p[min(at, 1)], "en", "s", 0) for k, p in enumerate(pairs) for at in (0, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect())
+    assert kept() == list(range(0, 60, 3))
+    monkeypatch.setattr(near_copies, "link_fingerprints", lambda points, *_, **__: points.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+    assert kept() == [k for k in range(60) if k % 3 < 2]
+
+
+def test_near_copies_whatever_is_repeated_and_however_short(spark):
+    """Fingerprints are of distinct shingles; sets of 5 and 4 shingles are the ones whose bits differ most at 0.8."""
+    line = " ".join(f"l{k}" for k in range(14))
+    pairs = [(a + f"\n{line}" * 30, f"{b}\n{line}\n{line}") for a, b, _ in (altered(k, 304, 4) for k in range(50))]
+    pairs += [(" ".join(f"d{k}w{j}" for j in range(9)), " ".join(f"d{k}w{j}" for j in range(8))) for k in range(500)]
+    rows = [(2 * k + at, p[at], "en", "s", 0) for k, p in enumerate(pairs) for at in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == list(range(0, 1100, 2))
+
+
 def test_clean_documents_with_a_repeated_line_stay(spark):
     line = " ".join(f"l{k}" for k in range(14))
     rows = [(k, " ".join(f"d{k}w{j}" for j in range(304)) + f"\n{line}" * 30, "en", "s", 0) for k in range(40)]
